@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("partition",)
+MODULES = ("partition", "geodesy", "text")
 
 
 def load():

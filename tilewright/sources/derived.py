@@ -73,14 +73,14 @@ POINTS = Derived("orders", (
     "CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE concat('m', CAST(o_custkey % 12 AS VARCHAR(20)),"
     " CASE WHEN o_orderkey % 7 = 0 THEN '.txt' ELSE '.glb' END) END AS model",
     "CAST(o_orderkey % 360 AS DOUBLE) AS obj_angle",
-    "o_orderdate AS update_time",
+    "CAST(o_orderdate AS TIMESTAMP) AS update_time",
     "o_orderpriority AS category",
 ))
 
 # one point per line item, squeezed towards one corner so that a few cells are hot
 HOT_POINTS = Derived(
     Derived("lineitem", (
-        "l_orderkey * 8 + l_linenumber AS id", "l_suppkey AS supp", "l_shipdate AS update_time",
+        "l_orderkey * 8 + l_linenumber AS id", "l_suppkey AS supp", "CAST(l_shipdate AS TIMESTAMP) AS update_time",
         f"{frac('(l_orderkey * 8 + l_linenumber)', 7919, 20011)} AS fx",
         f"{frac('(l_orderkey * 8 + l_linenumber)', 104729, 30011)} AS fy",
     )),
@@ -98,7 +98,7 @@ HOT_POINTS = Derived(
 EDITS = Derived("events", (
     "event_id", f"{idiv('event_id', 2)} AS id",
     "CASE WHEN event_type = 'error' THEN '1' WHEN event_type = 'click' THEN NULL ELSE '0' END AS del_flag",
-    "ts AS update_time",
+    "CAST(ts AS TIMESTAMP) AS update_time",
     "CASE (user_id % 4) WHEN 0 THEN 'hdSign' WHEN 1 THEN 'hdPole' WHEN 2 THEN 'hdGantry' ELSE 'hdDevice' END AS kind",
     "'hd_orders' AS feature_table",
     "props AS service_data", "value",

@@ -30,7 +30,7 @@ def short_sql() -> str:
 @query("C23_text_helpers", f"""
     SELECT id, concat('tiles/', {shard_sql('h')}, '/lod', CAST(id % 4 AS VARCHAR), '.glb') AS tile_path,
        concat('subtilesets/', {shard_sql('h')}, '/tileset.json') AS subtree, printf('%x', CAST(f AS UBIGINT)) AS fnv, {short_sql()} AS md5s,
-       CASE WHEN id % 7 = 0 THEN 'unknown' ELSE concat('a_b-', name) END AS safe, CAST(id AS VARCHAR) AS cid,
+       CASE WHEN id % 7 = 0 THEN 'unknown' ELSE concat('a_b-', replace(name, '#', '')) END AS safe, CAST(id AS VARCHAR) AS cid,
        floor(balance * 10 + 0.5 * 1) / 10 AS fixed
     FROM (SELECT id, name, abs(balance) AS balance, h, {FNV} AS f, {M5} AS n5
           FROM (SELECT id, name, balance, substr({geohash('lng', 'lat', 11)}, 1, CAST(3 + id % 8 AS INTEGER)) AS h FROM ({L})))""")

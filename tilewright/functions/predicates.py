@@ -95,6 +95,15 @@ def edges_meet_box(edges: Column, west: Column, south: Column, east: Column, nor
     return edge | edges_contain(edges, west, south) if closed else edge
 
 
+def edge_structs(points: Column, closed: bool = True) -> Column:
+    return F.transform(segments(points, closed), lambda s: F.struct(
+        s["a"]["x"].alias("x1"), s["a"]["y"].alias("y1"), s["b"]["x"].alias("x2"), s["b"]["y"].alias("y2")))
+
+
+def ring_meets_box(points: Column, west: Column, south: Column, east: Column, north: Column, closed: bool = True) -> Column:
+    return edges_meet_box(edge_structs(points, closed), west, south, east, north, closed)
+
+
 def polygon_meets_box(rings: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
     """Like :func:`ring_meets_box` for an outer ring with holes: a box wholly inside a hole does not meet it."""
     outer, holes = rings[0], F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0)))

@@ -1 +1 @@
-
+"""Composite jobs."""

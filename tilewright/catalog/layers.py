@@ -120,7 +120,7 @@ def f11(spark, sf):
 
 @query("F12_storage_projection", f"""
     SELECT id, name, segment AS area, segment AS grade, CAST(nation AS VARCHAR) AS owner_nation, CAST(NULL AS VARCHAR) AS remark,
-      {r('lng - CAST(0.000001 AS DOUBLE)', 5)} AS west FROM ({L})""")
+      {r("CAST(printf('%.7f', lng - CAST(0.000001 AS DOUBLE)) AS DOUBLE)", 5)} AS west FROM ({L})""")
 def f12(spark, sf):
     df = s.project(s.ready(LAYER.frame(spark, sf), FIELDS), FIELDS)
     lng = F.regexp_extract("box", r"\(\((\S+) (\S+) (\S+),", 1).cast("double")

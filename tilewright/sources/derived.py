@@ -130,21 +130,21 @@ TRIANGLES = Derived(
         Derived("supplier", ("s_suppkey AS road_id", seq(0, 19, "i"))),
         (
             "road_id", "i", seq(0, 1, "half"),
-            f"CAST(road_id % 100 AS DOUBLE) * {dbl(50)} + CAST(i AS DOUBLE) * {dbl(12.5)} AS x0",
-            f"CAST({idiv('road_id', 100)} AS DOUBLE) * {dbl(200)} + CAST(i % 3 AS DOUBLE) * {dbl(2)} + CAST(road_id % 7 AS DOUBLE) AS y0",
-            f"CAST({idiv('road_id', 100)} AS DOUBLE) * {dbl(200)} + CAST((i + 1) % 3 AS DOUBLE) * {dbl(2)} + CAST(road_id % 7 AS DOUBLE) AS y1",
-            f"{dbl(10)} + CAST(i % 4 AS DOUBLE) * {dbl(0.25)} AS z0",
-            f"{dbl(10)} + CAST((i + 1) % 4 AS DOUBLE) * {dbl(0.25)} AS z1",
+            f"CAST(road_id % 100 AS DOUBLE) * {dbl(50)} + CAST(i AS DOUBLE) * {dbl(12.5)} AS sx",
+            f"CAST({idiv('road_id', 100)} AS DOUBLE) * {dbl(200)} + CAST(i % 3 AS DOUBLE) * {dbl(2)} + CAST(road_id % 7 AS DOUBLE) AS sy0",
+            f"CAST({idiv('road_id', 100)} AS DOUBLE) * {dbl(200)} + CAST((i + 1) % 3 AS DOUBLE) * {dbl(2)} + CAST(road_id % 7 AS DOUBLE) AS sy1",
+            f"{dbl(10)} + CAST(i % 4 AS DOUBLE) * {dbl(0.25)} AS sz0",
+            f"{dbl(10)} + CAST((i + 1) % 4 AS DOUBLE) * {dbl(0.25)} AS sz1",
         ),
     ),
     (
         "road_id", "i * 2 + half AS tri_id",
-        "x0 AS ax", f"y0 - {dbl(3)} AS ay", "z0 AS az",
-        f"x0 + {dbl(12.5)} AS bx",
-        f"CASE WHEN half = 0 THEN y1 - {dbl(3)} ELSE y1 + {dbl(3)} END AS by", "z1 AS bz",
-        f"CASE WHEN half = 0 THEN x0 + {dbl(12.5)} ELSE x0 END AS cx",
-        f"CASE WHEN half = 0 THEN y1 + {dbl(3)} ELSE y0 + {dbl(3)} END AS cy",
-        "CASE WHEN half = 0 THEN z1 ELSE z0 END AS cz",
+        "sx AS x1", f"sy0 - {dbl(3)} AS y1", "sz0 AS z1",
+        f"sx + {dbl(12.5)} AS x2",
+        f"CASE WHEN half = 0 THEN sy1 - {dbl(3)} ELSE sy1 + {dbl(3)} END AS y2", "sz1 AS z2",
+        f"CASE WHEN half = 0 THEN sx + {dbl(12.5)} ELSE sx END AS x3",
+        f"CASE WHEN half = 0 THEN sy1 + {dbl(3)} ELSE sy0 + {dbl(3)} END AS y3",
+        "CASE WHEN half = 0 THEN sz1 ELSE sz0 END AS z3",
     ),
 )
 

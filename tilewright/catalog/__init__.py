@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("partition", "geodesy", "text", "layers", "lines")
+MODULES = ("partition", "geodesy", "text", "layers", "lines", "tiles")
 
 
 def load():

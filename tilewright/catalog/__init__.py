@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("partition", "geodesy", "text", "layers", "lines", "tiles")
+MODULES = ("partition", "geodesy", "text", "layers", "lines", "tiles", "joins")
 
 
 def load():

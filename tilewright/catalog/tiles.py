@@ -159,14 +159,14 @@ def p6(spark, sf):
 @query("P6_hierarchy_boxes")
 def p6b(spark, sf):
     rows, nodes = leaf_boxes(spark, sf)
-    boxes = tl.hierarchy(rows, 16.0)
+    boxes = tl.hierarchy(rows, 16.0, [5])
     errors = nodes.select("node", "error", "parent").unionByName(rows.select(c("geohash").alias("node"), "error", F.substring("geohash", 1, 4).alias("parent")))
     return errors.join(boxes, "node").select("node", "parent", "error", *[g.clean(c("box")[k], 3).alias(f"b{k}") for k in range(12)])
 
 
 def manifest_nodes(spark, sf):
     rows, nodes = leaf_boxes(spark, sf)
-    boxes = tl.hierarchy(rows, 16.0)
+    boxes = tl.hierarchy(rows, 16.0, [5])
     flat = nodes.select(c("node").alias("geohash"), "parent", "error", F.lit(None).cast("string").alias("uri")).unionByName(
         rows.select("geohash", F.substring("geohash", 1, 4).alias("parent"), "error", F.concat(F.lit("tiles/"), "geohash").alias("uri")))
     return flat.join(boxes.withColumnRenamed("node", "geohash"), "geohash")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions import cells, geodesy as g
+from tilewright.session import checkpoint
 from tilewright.functions.text import lod_mode, subtree_path, tile_model_path
 
 # Growth of a merged box, of a leaf box, and of the error per grouping level.
@@ -139,16 +140,17 @@ def roll_up(leaves: DataFrame, base: float) -> DataFrame:
 
 def merge_boxes(children: DataFrame, key: str, order: str, box: str = "box", growth: float = MERGE_GROWTH) -> DataFrame:
     """Oriented box around child boxes, in the frame of the first child by ``order``; a single child's box is kept."""
-    frames = children.groupBy(key).agg(F.min_by(box, order).alias("_f"), F.count("*").alias("_n"))
-    rows = children.select(key, F.col(box).alias("_b")).join(frames, key)
     f = F.col("_f")
-    unit = lambda v: tuple(x / F.sqrt(g.dot(v, v)) for x in v)
-    ux = unit((f[3], f[4], f[5]))
-    raw_y = unit((f[6], f[7], f[8]))
-    uz = unit(g._cross(ux, raw_y))
-    uy = unit(g._cross(uz, ux))
+    vec = lambda n: tuple(F.col(n)[i] for i in range(3))
+    unit = lambda v: F.array(*[x / F.sqrt(g.dot(v, v)) for x in v])
     names = ("ux", "uy", "uz")
-    rows = rows.withColumns({n: F.array(*v) for n, v in zip(names, (ux, uy, uz))})
+    frames = (
+        children.groupBy(key).agg(F.min_by(box, order).alias("_f"), F.count("*").alias("_n"))
+        .withColumn("ux", unit((f[3], f[4], f[5]))).withColumn("_ry", unit((f[6], f[7], f[8])))
+        .withColumn("_c", F.array(*g._cross(vec("ux"), vec("_ry")))).withColumn("uz", unit(vec("_c")))
+        .withColumn("_d", F.array(*g._cross(vec("uz"), vec("ux")))).withColumn("uy", unit(vec("_d"))).drop("_ry", "_c", "_d")
+    )
+    rows = children.select(key, F.col(box).alias("_b")).join(frames, key)
     corner = rows.withColumn("_p", F.explode(g.box_corners(F.col("_b"))))
     d = tuple(F.col("_p")[a] - f[i] for i, a in enumerate("xyz"))
     proj = {f"_{n}": g.dot(d, tuple(F.col(n)[i] for i in range(3))) for n in names}
@@ -162,27 +164,28 @@ def merge_boxes(children: DataFrame, key: str, order: str, box: str = "box", gro
     return spans.select(key, F.when(F.col("_n") == 1, F.col("_f")).otherwise(merged).alias(box))
 
 
-def hierarchy(leaves: DataFrame, base: float) -> DataFrame:
-    """All nodes (leaves, grouping nodes, root) with parent, error and box. Boxes rise one level at a time, at most nine passes."""
-    groups = roll_up(leaves, base)
-    level_of = F.when(F.col("node") == "root", F.lit(1)).otherwise(F.length("node"))
-    nodes = groups.withColumn("depth", level_of)
-    current = leaves.select(F.col("geohash").alias("node"), "box", F.element_at(F.concat(grouping_prefixes(F.col("geohash")), F.array(F.lit("root"))), 1).alias("parent"),
-                            F.length("geohash").alias("depth"))
-    done = current.select("node", "box")
-    waiting = current
-    for depth in range(cells.MAX_LEVEL, 1, -1):
-        now = waiting.where(F.col("depth") == depth)
-        merged = merge_boxes(now, "parent", "node").withColumnRenamed("parent", "node")
-        upper = merged.where("node <> 'root'").join(nodes.select("node", "parent", "depth"), "node").select("node", "box", "parent", "depth")
-        done = done.unionByName(upper.select("node", "box"))
-        waiting = waiting.where(F.col("depth") < depth).unionByName(upper) if depth > 2 else waiting
-        if depth <= 3:
-            top = waiting.where("parent = 'root'") if depth == 3 else None
-            if top is not None:
-                done = done.unionByName(merge_boxes(top, "parent", "node").withColumnRenamed("parent", "node"))
-                break
-    return done
+def hierarchy(leaves: DataFrame, base: float, levels: Sequence[int]) -> DataFrame:
+    """Boxes of all nodes (leaves, grouping nodes, root). They rise one level at a time, at most nine passes over cells.
+
+    ``levels`` are the levels that hold leaves.
+    """
+    paths = F.concat(grouping_prefixes(F.col("geohash")), F.array(F.lit("root")))
+    own = leaves.select(F.col("geohash").alias("node"), "box", F.element_at(paths, 1).alias("parent"))
+    up = lambda n: F.when(F.length(n) > 3, F.substring(n, F.lit(1), F.length(n) - 1)).otherwise(F.lit("root"))
+    done, risen = [own.select("node", "box")], None
+    for depth in range(max(levels), 1, -1):
+        now = own.where(F.length("node") == depth)
+        if risen is not None:
+            now = now.unionByName(risen.where(F.length("node") == depth))
+        made = checkpoint(merge_boxes(now.where("parent <> 'root'"), "parent", "node").select(
+            F.col("parent").alias("node"), "box", up(F.col("parent")).alias("parent")))
+        done.append(made.select("node", "box"))
+        risen = made if risen is None else risen.unionByName(made)
+        if depth == min(4, *levels):
+            break
+    top = risen.where("parent = 'root'")
+    done.append(merge_boxes(top, "parent", "node").withColumnRenamed("parent", "node"))
+    return reduce(lambda a, b: a.unionByName(b), done)
 
 
 def lod_chain(leaves: DataFrame, resolved: DataFrame, levels: Sequence[LodLevel], stamp: str) -> DataFrame:
@@ -219,10 +222,14 @@ def manifests(nodes: DataFrame, split_level: int, stamp: str, limit: int = MAX_N
         F.col("geohash"), *([children] if children is not None else [])))
     documents: list[DataFrame] = []
     lifted = None
-    for depth in range(cells.MAX_LEVEL, 0, -1):
+    deepest = nodes.agg(F.max(F.length("geohash"))).first()[0]
+    nodes = checkpoint(nodes)
+    for depth in range(deepest, 0, -1):
+        if depth == 2 and nodes.where(F.length("geohash") == 2).isEmpty():
+            continue
         here = nodes.where((F.length("geohash") == depth) if depth > 1 else (F.col("geohash") == "root"))
+        here = here.where(F.col("geohash") != "root") if depth > 1 else here
         if lifted is not None:
-            here = here.where(F.col("geohash") != "root") if depth > 1 else here
             kids = lifted.where(F.length("parent") == depth if depth > 1 else F.col("parent") == "root").groupBy("parent").agg(
                 F.sort_array(F.collect_list(F.struct("geohash", "text"))).alias("kids"), F.sum("n").alias("below"))
             here = here.join(kids.withColumnRenamed("parent", "geohash"), "geohash", "left")
@@ -244,7 +251,8 @@ def manifests(nodes: DataFrame, split_level: int, stamp: str, limit: int = MAX_N
             F.struct(F.concat("path", F.lit(f"?t={stamp}")).alias("uri")).alias("content"), F.col("geohash")))
         up = marked.select("geohash", "parent", F.when(F.col("apart"), link).otherwise(F.col("text")).alias("text"),
                            F.when(F.col("apart"), F.lit(1).cast("bigint")).otherwise(F.col("n")).alias("n"))
-        lifted = up if lifted is None else lifted.unionByName(up)
+        waiting = up if lifted is None else up.unionByName(lifted.where("parent = 'root'"))
+        lifted = checkpoint(waiting)
     return reduce(lambda a, b: a.unionByName(b), documents)
 
 

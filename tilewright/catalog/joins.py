@@ -219,13 +219,13 @@ GAP = "power(greatest(bw - e, w - be, 0), 2) + power(greatest(bs - n, s - bn, 0)
 
 @query("J17_box_k_nearest", f"""
     WITH q AS ({Q.replace('0.004', '0.0')}), b AS ({BX}), d AS (SELECT q.id, b.bid, round(sqrt({GAP}), 10) AS gap FROM q CROSS JOIN b),
-    k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY gap, bid) AS rank FROM d QUALIFY rank <= 3) SELECT id, bid, CAST(rank AS INTEGER) AS rank, {r('gap', 8)} AS gap FROM k""")
+    k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY gap, bid) AS rank FROM d QUALIFY rank <= 3) SELECT id, bid, CAST(rank AS INTEGER) AS rank, gap + CAST(0 AS DOUBLE) AS gap FROM k""")
 def j17k(spark, sf):
     _, b = boxes(spark, sf)
     pts = POINTS.frame(spark, sf).select("id", c("lng").alias("px"), c("lat").alias("py"))
     gap = F.round(F.sqrt(nr.box_gap2(c("px"), c("py"), c("px"), c("py"), c("bw"), c("bs"), c("be"), c("bn"))), 10)
     best = nr.nearest(pts, b, "id", gap, ["bid"], ["bid"], 0.03, k=3)
-    return best.select("id", "bid", c("rank").cast("int").alias("rank"), (F.round("distance", 8) + 0.0).alias("gap"))
+    return best.select("id", "bid", c("rank").cast("int").alias("rank"), (c("distance") + 0.0).alias("gap"))
 
 
 @query("J18_centreline_plausible", f"""

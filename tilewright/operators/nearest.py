@@ -37,8 +37,11 @@ def nearest(
     Items carry their box (bw, bs, be, bn). In each round the items are spread over the grid cells
     within one cell size of them, so a point looks only into its own cell, and any item closer than
     the cell size is seen there. Points whose answer lies within the cell size are finished; only
-    the others go on, with cells four times as large. For ``k = 1`` the winner is a map-side
-    combined minimum, so candidates are never collected.
+    the others go on, with cells four times as large. From the second round on a point first meets
+    small groups of items (one box per sixteenth of a cell), and opens only groups that can still
+    beat the best guaranteed distance, so a far cluster is never compared item by item. For
+    ``k = 1`` the winner is a map-side combined minimum, so candidates are never collected.
+    ``distance`` must not be smaller than the distance to the item's box.
     """
     left, cell, done = points, size, []
     total = None
@@ -49,13 +52,28 @@ def nearest(
     whole = max(extent[2], reach[2]) - min(extent[0], reach[0]) + max(extent[3], reach[3]) - min(extent[1], reach[1])
     for _ in range(rounds):
         last = cell >= whole
-        reachable = items.withColumn("_c", F.explode(grid_cells(
-            F.col("bw") - cell, F.col("bs") - cell, F.col("be") + cell, F.col("bn") + cell, cell)))
         probe = left.withColumns({"_gx": F.floor(F.col("px") / cell), "_gy": F.floor(F.col("py") / cell)})
-        test = (F.col("_c.gx") == F.col("_gx")) & (F.col("_c.gy") == F.col("_gy"))
-        for c in on:
-            test = test & (probe[c] == reachable[c])
-        pairs = probe.join(reachable, test).select(probe[point_key], distance.alias("distance"), *[reachable[c] for c in carry])
+        if cell == size:
+            pairs = _meet(probe, items, cell, on)
+        else:
+            node = F.struct(F.floor((F.col("bw") + F.col("be")) / 2 / (cell / 16)).alias("nx"), F.floor((F.col("bs") + F.col("bn")) / 2 / (cell / 16)).alias("ny"))
+            grouped = items.withColumn("_node", node)
+            nodes = grouped.groupBy("_node", *on).agg(F.min("bw").alias("bw"), F.min("bs").alias("bs"), F.max("be").alias("be"), F.max("bn").alias("bn"))
+            seen = _meet(probe, nodes, cell, on).withColumns({
+                "_low": F.hypot(F.greatest(F.col("bw") - F.col("px"), F.col("px") - F.col("be"), F.lit(0.0)), F.greatest(F.col("bs") - F.col("py"), F.col("py") - F.col("bn"), F.lit(0.0))),
+                "_high": F.hypot(F.greatest(F.abs(F.col("px") - F.col("bw")), F.abs(F.col("px") - F.col("be"))), F.greatest(F.abs(F.col("py") - F.col("bs")), F.abs(F.col("py") - F.col("bn")))),
+            }).drop("bw", "bs", "be", "bn")
+            w = Window.partitionBy(point_key)
+            if k == 1:
+                limit = seen.groupBy(point_key).agg(F.min("_high").alias("_limit"))
+            else:
+                limit = seen.withColumn("_r", F.row_number().over(w.orderBy("_high"))).where(F.col("_r") == k).select(point_key, F.col("_high").alias("_limit"))
+            opened = seen.join(limit, point_key, "left").where(F.col("_limit").isNull() | (F.col("_low") <= F.col("_limit") + 1e-9)).drop("_low", "_high", "_limit")
+            test = opened["_node"] == grouped["_node"]
+            for c in on:
+                test = test & (opened[c] == grouped[c])
+            pairs = opened.join(grouped, test).drop(*[grouped[c] for c in on])
+        pairs = pairs.select(point_key, distance.alias("distance"), *carry)
         if k == 1:
             best = pairs.groupBy(point_key).agg(F.min_by(F.struct("distance", *carry), F.struct("distance", *order)).alias("_b")).select(
                 point_key, "_b.*", F.lit(1).alias("rank"))
@@ -81,6 +99,15 @@ def nearest(
     return out
 
 
+def _meet(probe: DataFrame, items: DataFrame, cell: float, on: Sequence[str]) -> DataFrame:
+    """Points (with their cell) beside every item within one cell of them."""
+    spread = items.withColumn("_c", F.explode(grid_cells(F.col("bw") - cell, F.col("bs") - cell, F.col("be") + cell, F.col("bn") + cell, cell)))
+    test = (F.col("_c.gx") == F.col("_gx")) & (F.col("_c.gy") == F.col("_gy"))
+    for c in on:
+        test = test & (probe[c] == spread[c])
+    return probe.join(spread, test).drop("_c", *[spread[c] for c in on])
+
+
 def within(points: DataFrame, items: DataFrame, distance: Column, reach: float, on: Sequence[str] = ()) -> DataFrame:
     """Pairs of points and items closer than ``reach``, met in the point's own grid cell."""
     size = reach * 4

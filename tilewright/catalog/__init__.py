@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("partition", "geodesy", "text", "layers", "lines", "tiles", "joins", "shapes")
+MODULES = ("partition", "geodesy", "text", "layers", "lines", "tiles", "joins", "shapes", "files")
 
 
 def load():

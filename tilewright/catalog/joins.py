@@ -303,3 +303,12 @@ def p14(spark, sf):
     sign = F.when(c("line_id") % 2 == 1, 1.0).otherwise(-1.0)
     out = s.select("line_id", "station", (c("x") + c("fy") * sign * 0.23).alias("x"), (c("y") - c("fx") * sign * 0.23).alias("y"), "z", F.degrees(F.atan2("fy", "fx")).alias("heading"))
     return rd(out, {"line_id": None, "station": 3, "x": 3, "y": 3, "z": 3, "heading": 4})
+
+
+@query("O4_top_candidates", f"""
+    WITH {CAND}, rk AS (SELECT pid, tri_id, row_number() OVER (PARTITION BY pid ORDER BY round(dist, 9), round(abs(height - pz), 9), tri_id) AS pos FROM cand)
+    SELECT pid, tri_id, CAST(pos AS INTEGER) AS pos FROM rk WHERE pos <= 4""")
+def o4(spark, sf):
+    tri, pts = TRIANGLES.frame(spark, sf), probes(spark, sf)
+    found = dr.candidates(pts.where("road_id >= 0"), tri, "pid").unionByName(dr.candidates(pts.where("road_id < 0").drop("road_id"), tri, "pid", ()))
+    return dr.best_candidates(found.withColumns({"dist": F.round("dist", 9), "rise": F.round("rise", 9)}), "pid", 4).select("pid", "tri_id", "pos")

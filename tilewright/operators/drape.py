@@ -43,6 +43,12 @@ def candidates(points: DataFrame, triangles: DataFrame, key: str, on: tuple[str,
     return rows.where(F.col("dist") <= SEARCH).withColumn("rise", F.abs(F.col("height") - F.col("pz"))).select(key, "tri_id", "dist", "height", "rise")
 
 
+def best_candidates(found: DataFrame, key: str, count: int) -> DataFrame:
+    """The best candidates per point by (distance, rise, id); the limit is applied before the shuffle too."""
+    w = Window.partitionBy(key).orderBy("dist", "rise", "tri_id")
+    return found.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= count)
+
+
 def weighted_height(found: DataFrame, key: str) -> DataFrame:
     """Height per point: over all containing triangles, otherwise over the four best by (distance, rise)."""
     w = Window.partitionBy(key).orderBy("dist", "rise", "tri_id")

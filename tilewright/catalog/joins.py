@@ -34,7 +34,7 @@ def j5(spark, sf):
     items = nr.segment_items(ln.stations(ln.segments_of(g)))
     pts = POINTS.frame(spark, sf).select("id", c("lng").alias("px"), c("lat").alias("py"))
     d, _ = nr.segment_distance(c("px"), c("py"), c("x1"), c("y1"), c("x2"), c("y2"))
-    best = nr.nearest(pts, items, "id", F.round(d, 12), ["line_id", "i"], ["line_id", "i", "x1", "y1", "x2", "y2", "s0", "s1", "total"], 0.02)
+    best = nr.nearest(pts, items, "id", F.round(d, 12), ["line_id", "i"], ["line_id", "i", "x1", "y1", "x2", "y2", "s0", "s1", "total"], 0.004)
     rows = best.join(pts, "id")
     _, t = nr.segment_distance(c("px"), c("py"), c("x1"), c("y1"), c("x2"), c("y2"))
     km = c("line_id") + (c("s0") + t * (c("s1") - c("s0"))) / c("total") * 0.25

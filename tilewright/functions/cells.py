@@ -43,7 +43,7 @@ def _symbols(lng_first: bool) -> str:
 EVEN_SYMBOLS, ODD_SYMBOLS = _symbols(True), _symbols(False)
 
 
-def _grid_index(value: Column, low: float, span: float, bits: int) -> Column:
+def grid_index(value: Column, low: float, span: float, bits: int) -> Column:
     scaled = F.floor((value - F.lit(low)) / F.lit(span) * F.lit(float(1 << bits)))
     return F.least(scaled.cast("bigint"), F.lit((1 << bits) - 1).cast("bigint"))
 
@@ -63,7 +63,7 @@ def row_of(code: Column) -> Column:
 def point_code(lng: Column, lat: Column, level: int = MAX_LEVEL) -> Column:
     """Cell code of a lon/lat point at ``level``."""
     lng_bits, lat_bits = grid_bits(level)
-    return pack(_grid_index(lng, -180.0, 360.0, lng_bits), _grid_index(lat, -90.0, 180.0, lat_bits))
+    return pack(grid_index(lng, -180.0, 360.0, lng_bits), grid_index(lat, -90.0, 180.0, lat_bits))
 
 
 def ancestor_code(code: Column, from_level: int, to_level: int) -> Column:
@@ -103,7 +103,7 @@ def code_to_hash(code: Column, level: int) -> Column:
 
 def point_hash(lng: Column, lat: Column, level: int = MAX_LEVEL) -> Column:
     lng_bits, lat_bits = grid_bits(level)
-    return _hash_text(_grid_index(lng, -180.0, 360.0, lng_bits), _grid_index(lat, -90.0, 180.0, lat_bits), level)
+    return _hash_text(grid_index(lng, -180.0, 360.0, lng_bits), grid_index(lat, -90.0, 180.0, lat_bits), level)
 
 
 def code_to_hash_at(code: Column, level: Column) -> Column:
@@ -182,7 +182,7 @@ def ancestor_hashes(geohash: Column, min_level: int = 1) -> Column:
 def grid_span(low: Column, high: Column, axis_low: float, axis_span: float, bits: int) -> Column:
     """Indices of every grid row or column touched by ``[low, high]``."""
     return F.sequence(
-        _grid_index(low, axis_low, axis_span, bits), _grid_index(high, axis_low, axis_span, bits)
+        grid_index(low, axis_low, axis_span, bits), grid_index(high, axis_low, axis_span, bits)
     )
 
 

@@ -49,19 +49,14 @@ def segments(points: Column, closed: bool) -> Column:
 
 def segment_meets_box(x1: Column, y1: Column, x2: Column, y2: Column,
                       west: Column, south: Column, east: Column, north: Column) -> Column:
-    """Slab test of one segment against a box, contact included."""
-
-    def slab(p: Column, d: Column, low: Column, high: Column) -> tuple[Column, Column]:
-        t1, t2 = (low - p) / d, (high - p) / d
-        inside = (p >= low) & (p <= high)
-        flat = d == 0
-        enter = F.when(flat, F.when(inside, F.lit(0.0)).otherwise(F.lit(2.0))).otherwise(F.least(t1, t2))
-        leave = F.when(flat, F.when(inside, F.lit(1.0)).otherwise(F.lit(-1.0))).otherwise(F.greatest(t1, t2))
-        return enter, leave
-
-    ex, lx = slab(x1, x2 - x1, west, east)
-    ey, ly = slab(y1, y2 - y1, south, north)
-    return F.greatest(ex, ey, F.lit(0.0)) <= F.least(lx, ly, F.lit(1.0))
+    """A segment and a box meet, contact included: their boxes overlap and the segment's line does not pass the box by.
+
+    The cheap comparisons come first, so most pairs are settled without any product.
+    """
+    near = (F.least(x1, x2) <= east) & (F.greatest(x1, x2) >= west) & (F.least(y1, y2) <= north) & (F.greatest(y1, y2) >= south)
+    dx, dy = x2 - x1, y2 - y1
+    off = dx * ((south + north) / 2 - y1) - dy * ((west + east) / 2 - x1)
+    return near & (F.abs(off) <= ((east - west) * F.abs(dy) + (north - south) * F.abs(dx)) / 2)
 
 
 def ring_contains(points: Column, x: Column, y: Column) -> Column:

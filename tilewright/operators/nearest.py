@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from tilewright.operators.boxes import grid_cells
 from tilewright.session import checkpoint
 
+# Groups of items narrow by this factor per step.
+FAN = 8
+
 
 def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, Column]:
     """Distance of a point to a segment and the share along the segment of the closest point."""
@@ -37,8 +41,8 @@ def nearest(
     Items carry their box (bw, bs, be, bn). In each round the items are spread over the grid cells
     within one cell size of them, so a point looks only into its own cell, and any item closer than
     the cell size is seen there. Points whose answer lies within the cell size are finished; only
-    the others go on, with cells four times as large. From the second round on a point first meets
-    small groups of items (one box per sixteenth of a cell), and opens only groups that can still
+    the others go on, with cells eight times as large. From the second round on a point first meets
+    groups of items, from one box per eighth of a cell downwards, and opens only groups that can still
     beat the best guaranteed distance, so a far cluster is never compared item by item. For
     ``k = 1`` the winner is a map-side combined minimum, so candidates are never collected.
     ``distance`` must not be smaller than the distance to the item's box.
@@ -56,23 +60,8 @@ def nearest(
         if cell == size:
             pairs = _meet(probe, items, cell, on)
         else:
-            node = F.struct(F.floor((F.col("bw") + F.col("be")) / 2 / (cell / 16)).alias("nx"), F.floor((F.col("bs") + F.col("bn")) / 2 / (cell / 16)).alias("ny"))
-            grouped = items.withColumn("_node", node)
-            nodes = grouped.groupBy("_node", *on).agg(F.min("bw").alias("bw"), F.min("bs").alias("bs"), F.max("be").alias("be"), F.max("bn").alias("bn"))
-            seen = _meet(probe, nodes, cell, on).withColumns({
-                "_low": F.hypot(F.greatest(F.col("bw") - F.col("px"), F.col("px") - F.col("be"), F.lit(0.0)), F.greatest(F.col("bs") - F.col("py"), F.col("py") - F.col("bn"), F.lit(0.0))),
-                "_high": F.hypot(F.greatest(F.abs(F.col("px") - F.col("bw")), F.abs(F.col("px") - F.col("be"))), F.greatest(F.abs(F.col("py") - F.col("bs")), F.abs(F.col("py") - F.col("bn")))),
-            }).drop("bw", "bs", "be", "bn")
-            w = Window.partitionBy(point_key)
-            if k == 1:
-                limit = seen.groupBy(point_key).agg(F.min("_high").alias("_limit"))
-            else:
-                limit = seen.withColumn("_r", F.row_number().over(w.orderBy("_high"))).where(F.col("_r") == k).select(point_key, F.col("_high").alias("_limit"))
-            opened = seen.join(limit, point_key, "left").where(F.col("_limit").isNull() | (F.col("_low") <= F.col("_limit") + 1e-9)).drop("_low", "_high", "_limit")
-            test = opened["_node"] == grouped["_node"]
-            for c in on:
-                test = test & (opened[c] == grouped[c])
-            pairs = opened.join(grouped, test).drop(*[grouped[c] for c in on])
+            steps = max(1, math.ceil(math.log(cell / size, FAN)))
+            pairs = _descend(probe, items, point_key, cell, steps, k, on)
         pairs = pairs.select(point_key, distance.alias("distance"), *carry)
         if k == 1:
             best = pairs.groupBy(point_key).agg(F.min_by(F.struct("distance", *carry), F.struct("distance", *order)).alias("_b")).select(
@@ -92,7 +81,7 @@ def nearest(
         left = checkpoint(left)
         if left.isEmpty():
             break
-        cell *= 4
+        cell *= FAN
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -108,6 +97,44 @@ def _meet(probe: DataFrame, items: DataFrame, cell: float, on: Sequence[str]) ->
     return probe.join(spread, test).drop("_c", *[spread[c] for c in on])
 
 
+def _open(seen: DataFrame, point_key: str, k: int) -> DataFrame:
+    """Keep the groups of a point that can still hold one of its ``k`` nearest items."""
+    low = F.hypot(F.greatest(F.col("bw") - F.col("px"), F.col("px") - F.col("be"), F.lit(0.0)), F.greatest(F.col("bs") - F.col("py"), F.col("py") - F.col("bn"), F.lit(0.0)))
+    high = F.hypot(F.greatest(F.abs(F.col("px") - F.col("bw")), F.abs(F.col("px") - F.col("be"))), F.greatest(F.abs(F.col("py") - F.col("bs")), F.abs(F.col("py") - F.col("bn"))))
+    seen = seen.withColumns({"_low": low, "_high": high}).drop("bw", "bs", "be", "bn")
+    if k == 1:
+        limit = seen.groupBy(point_key).agg(F.min("_high").alias("_limit"))
+    else:
+        rank = F.row_number().over(Window.partitionBy(point_key).orderBy("_high"))
+        limit = seen.withColumn("_r", rank).where(F.col("_r") == k).select(point_key, F.col("_high").alias("_limit"))
+    kept = seen.join(limit, point_key, "left").where(F.col("_limit").isNull() | (F.col("_low") <= F.col("_limit") + 1e-9))
+    return kept.drop("_low", "_high", "_limit")
+
+
+def _descend(probe: DataFrame, items: DataFrame, point_key: str, cell: float, steps: int, k: int, on: Sequence[str]) -> DataFrame:
+    """Points beside the items of the groups left open after narrowing from large groups to small ones."""
+    finest = cell / FAN**steps
+    keyed = items.withColumns({"_fx": F.floor((F.col("bw") + F.col("be")) / 2 / finest), "_fy": F.floor((F.col("bs") + F.col("bn")) / 2 / finest)})
+    up = lambda c, n: F.floor(F.col(c) / FAN**n)
+
+    def groups(n: int) -> DataFrame:
+        return keyed.groupBy(up("_fx", n).alias("_nx"), up("_fy", n).alias("_ny"), *on).agg(
+            F.min("bw").alias("bw"), F.min("bs").alias("bs"), F.max("be").alias("be"), F.max("bn").alias("bn"))
+
+    opened = checkpoint(_open(_meet(probe, groups(steps - 1), cell, on), point_key, k))
+    for n in range(steps - 2, -1, -1):
+        kids = groups(n).withColumns({"_px": up("_nx", 1), "_py": up("_ny", 1)}).withColumnsRenamed({"_nx": "_kx", "_ny": "_ky"})
+        test = (opened["_nx"] == kids["_px"]) & (opened["_ny"] == kids["_py"])
+        for c in on:
+            test = test & (opened[c] == kids[c])
+        met = opened.join(kids, test).drop("_nx", "_ny", "_px", "_py", *[kids[c] for c in on]).withColumnsRenamed({"_kx": "_nx", "_ky": "_ny"})
+        opened = checkpoint(_open(met, point_key, k))
+    test = (opened["_nx"] == keyed["_fx"]) & (opened["_ny"] == keyed["_fy"])
+    for c in on:
+        test = test & (opened[c] == keyed[c])
+    return opened.join(keyed, test).drop(*[keyed[c] for c in on])
+
+
 def within(points: DataFrame, items: DataFrame, distance: Column, reach: float, on: Sequence[str] = ()) -> DataFrame:
     """Pairs of points and items closer than ``reach``, met in the point's own grid cell."""
     size = reach * 4

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -319,11 +320,17 @@ def placed_regions(instances: DataFrame, extents: DataFrame, model: str = "model
     """Region of each leaf from its placed models, together with the leaf cell and the seed heights."""
     rows = instances.join(extents, model)
     matrix = F.array(*g.pose_matrix(F.col("lng"), F.col("lat"), F.col("alt"), F.col("obj_angle"), scale=(F.col("sx"), F.col("sy"), F.col("sz"))))
-    rows = rows.withColumn("_m", matrix)
     pts = g.sample_points(tuple(F.col(f"lo_{a}") for a in "xyz"), tuple(F.col(f"hi_{a}") for a in "xyz"))
-    rows = rows.withColumn("_r", g.region_of_points(g.transform_points(pts, F.col("_m")), F.radians(F.col("lng"))))
-    names = ("w", "s", "e", "n", "lo", "hi")
-    merged = union_regions(rows.select("level", "cell", *[F.col("_r")[i].alias(k) for i, k in enumerate(names)]), ["level", "cell"])
+    # one row per sample keeps the earth-centred arithmetic in generated code; the aggregation shrinks it again map-side
+    rows = rows.select("level", "cell", F.radians("lng").alias("_ref"), matrix.alias("_m"), F.explode(pts).alias("_p"))
+    m, p = F.col("_m"), F.col("_p")
+    rows = rows.select("level", "cell", "_ref", *[
+        (m[i] * p["x"] + m[4 + i] * p["y"] + m[8 + i] * p["z"] + m[12 + i]).alias(f"_{a}") for i, a in enumerate("xyz")])
+    lon, lat, h = g.geodetic(F.col("_x"), F.col("_y"), F.col("_z"))
+    rows = rows.select("level", "cell", "_ref", lon.alias("_lon"), lat.alias("_lat"), h.alias("_h"))
+    turned = F.col("_lon") + F.round((F.col("_ref") - F.col("_lon")) / (2 * math.pi)) * (2 * math.pi)
+    merged = rows.groupBy("level", "cell").agg(
+        F.min(turned).alias("w"), F.min("_lat").alias("s"), F.max(turned).alias("e"), F.max("_lat").alias("n"), F.min("_h").alias("lo"), F.max("_h").alias("hi"))
     full = merged.withColumn("geohash", cells.code_to_hash_at(F.col("cell"), F.col("level")))
     box = cells.hash_bbox(F.col("geohash"))
     return full.select("level", "cell", "geohash",

@@ -286,8 +286,15 @@ def p5(spark, sf):
     return out.select("id", "fid", "ftype", "name", "bid", "alt", "width", "km_value", "stored", g.clean(c("matrix")[12], 3).alias("m12"))
 
 
+def fnv64(text: str) -> str:
+    value = 0xCBF29CE484222325
+    for byte in text.encode():
+        value = (value ^ byte) * 0x100000001B3 % 2**64
+    return f"{value:x}"
+
+
 @query("P8_dynamic_manifest", f"""
-    SELECT p.id, p.model || '?v=' || strftime(e.update_time, '%Y%m%d%H%M%S') || '&code=dfb5d36969d7c1ac&fid=' || CAST(p.id AS VARCHAR) || '&type=' || e.kind || printf('&lng=%.6f&lat=%.6f&alt=%.6f', p.lng, p.lat, p.alt) AS uri,
+    SELECT p.id, p.model || '?v=' || strftime(e.update_time, '%Y%m%d%H%M%S') || '&code={fnv64('main')}&fid=' || CAST(p.id AS VARCHAR) || '&type=' || e.kind || printf('&lng=%.6f&lat=%.6f&alt=%.6f', p.lng, p.lat, p.alt) AS uri,
       {r(ecef_sql('p.lng', 'p.lat', 'p.alt')[0], 3)} AS m12, {r('-20 * sin(radians(p.lng))', 3)} AS b3, {r('20 * sin(radians(p.lat))', 3)} AS b11
     FROM ({P}) p JOIN ({ED}) e ON p.id = e.id WHERE e.update_time >= TIMESTAMP '2024-01-20 00:00:00' AND (e.del_flag <> '1' OR e.del_flag IS NULL) AND (p.model LIKE '%.glb' OR p.model LIKE '%.gltf')""")
 def p8(spark, sf):

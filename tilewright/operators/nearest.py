@@ -52,7 +52,8 @@ def nearest(
     extent = items.agg(F.min("bw"), F.min("bs"), F.max("be"), F.max("bn"), F.count("*")).first()
     reach = points.agg(F.min("px"), F.min("py"), F.max("px"), F.max("py")).first()
     if extent[4] == 0 or reach[0] is None:
-        return points.select(point_key).where(F.lit(False)).crossJoin(items.select(*carry).limit(0)).withColumn("distance", F.lit(0.0)).withColumn("rank", F.lit(1))
+        none = points.select(point_key).limit(0).join(items.select(*carry).limit(0), F.lit(True))
+        return none.withColumns({"distance": F.lit(0.0), "rank": F.lit(1)})
     whole = max(extent[2], reach[2]) - min(extent[0], reach[0]) + max(extent[3], reach[3]) - min(extent[1], reach[1])
     for _ in range(rounds):
         last = cell >= whole

@@ -269,10 +269,10 @@ def u4(spark, sf):
 
 
 @query("O1_search_page", f"""
-    WITH h AS (SELECT * FROM ({L}) WHERE name ILIKE '%9%' OR segment ILIKE '%9%')
+    WITH h AS (SELECT * FROM ({L}) WHERE name ILIKE '%00%' OR segment ILIKE '%00%')
     SELECT id, name, segment AS area, segment AS grade, (SELECT count(*) FROM h) AS total FROM (SELECT * FROM h ORDER BY id LIMIT 50 OFFSET 50)""")
 def o1(spark, sf):
-    rows, total = s.search(LAYER.frame(spark, sf), FIELDS, "9", 2, 0)
+    rows, total = s.search(LAYER.frame(spark, sf), FIELDS, "00", 2, 0)
     return rows.join(total, F.lit(True))
 
 

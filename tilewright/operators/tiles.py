@@ -49,6 +49,7 @@ def to_leaves(points: DataFrame, leaves: DataFrame, code: str = "code", levels:
     Every point emits its ancestors only on levels where leaves can be, and meets the leaves by
     equality; each point has at most one leaf, because leaves do not nest.
     """
+    levels = list(levels) or [cells.MIN_LEVEL]
     ups = F.explode(F.array(*[
         F.struct(F.lit(k).alias("level"), cells.ancestor_code(F.col(code), cells.MAX_LEVEL, k).alias("cell")) for k in levels]))
     exploded = points.withColumn("_up", ups).select("*", F.col("_up.level").alias("level"), F.col("_up.cell").alias("cell")).drop("_up")

@@ -242,13 +242,16 @@ def archives(spark, sf):
 
 INDEX = f"""SELECT k, 0 AS feature_index, CAST(k * 3 AS VARCHAR) AS feature_id FROM ({SQ}) WHERE k % 10 <> 7 UNION ALL SELECT k, 1, CAST(k * 3 + 1 AS VARCHAR) FROM ({SQ}) WHERE k % 10 <> 7
     UNION ALL SELECT k, 2, CAST(k * 3 + 2 AS VARCHAR) FROM ({SQ}) WHERE k % 4 = 0 AND k % 10 <> 7 UNION ALL SELECT k, 3, 'x' FROM ({SQ}) WHERE k % 4 = 0 AND k % 10 <> 7"""
-FILE_NO = F.regexp_extract("path", r"/(\d+)\.[a-z0-9]+$", 1).cast("bigint")
+
+
+def file_no():
+    return F.regexp_extract("path", r"/(\d+)\.[a-z0-9]+$", 1).cast("bigint")
 
 
 @query("SRC7_archive_index", f"SELECT k, CAST(feature_index AS BIGINT) AS feature_index, feature_id, false AS broken FROM ({INDEX}) UNION ALL SELECT k, NULL, NULL, true FROM ({SQ}) WHERE k % 10 = 7")
 def src7(spark, sf):
     ix = at.archive_index(spark, archives(spark, sf))
-    return ix.select(FILE_NO.alias("k"), "feature_index", "feature_id", c("problem").isNotNull().alias("broken"))
+    return ix.select(file_no().alias("k"), "feature_index", "feature_id", c("problem").isNotNull().alias("broken"))
 
 
 @query("J13_requested_ids", f"""
@@ -259,7 +262,7 @@ def j13(spark, sf):
     ix = at.archive_index(spark, archives(spark, sf))
     wanted = SUP.frame(spark, sf).select(F.explode(F.array(F.concat(F.lit(" "), (c("k") * 2).cast("string")), F.lit(""))).alias("feature_id"))
     hits, missing = at.find_features(ix, wanted)
-    return hits.select("feature_id", FILE_NO.alias("k"), F.lit(False).alias("missing")).unionByName(
+    return hits.select("feature_id", file_no().alias("k"), F.lit(False).alias("missing")).unionByName(
         missing.select("feature_id", F.lit(None).cast("bigint").alias("k"), F.lit(True).alias("missing")))
 
 
@@ -273,7 +276,7 @@ def p18(spark, sf):
     inside = at.in_query_box(ix, (0.0, 0.0, 8.0, 1.0e9), (0.0, 0.0, 0.5, 1.0e18))
     wanted = ix.select("feature_id").where("feature_id <> 'x'")
     hits, _ = at.find_features(inside, wanted)
-    return hits.select("feature_id", FILE_NO.alias("k"))
+    return hits.select("feature_id", file_no().alias("k"))
 
 
 # ---- edit stream -------------------------------------------------------------------------------------------------

@@ -5,17 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tilewright.llm import near_copies
+from tilewright.llm import near_copies, repeats
 from tilewright.llm.shared import table
 
 
+def op1_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 50 words."""
+    kept = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, similarity of 0.85 or more."""
     return near_copies.near_copies(table(spark, sf_dir, "documents"), near_copies.Rule(words=3, num=85, den=100))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeated_words": op1_repeated_words,
     "op10_near_copies": op10_near_copies,
 }
 ORACLES: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import near_copies, repeats
+from tilewright.llm import near_copies, quality, repeats
 from tilewright.llm.shared import table
 
 
@@ -17,6 +17,14 @@ def op1_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from the labels outside fold 1 of 3."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(~quality.in_fold("doc_id", 3, 1)))
+    return quality.scored(docs, model).select(
+        "doc_id", quality.in_fold("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, similarity of 0.85 or more."""
     return near_copies.near_copies(table(spark, sf_dir, "documents"), near_copies.Rule(words=3, num=85, den=100))
@@ -24,6 +32,7 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeated_words": op1_repeated_words,
+    "op9_quality": op9_quality,
     "op10_near_copies": op10_near_copies,
 }
 ORACLES: dict[str, str] = {}

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import near_copies, quality, repeats
+from tilewright.llm import near_copies, quality, repeats, secrets
 from tilewright.llm.shared import table
+from tilewright.session import scratch_path
 
 
 def op1_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,19 @@ def op1_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new ledger over all documents; the documents are the paths."""
+    docs = table(spark, sf_dir, "documents")
+    ledger = secrets.Ledger(spark, scratch_path(spark, "ledger"))
+    ledger.scan(docs)
+    found = ledger.of_paths(docs, ["doc_id"])
+    spans = F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    kinds = F.transform("found", lambda x: x["kind"])
+    counts = [F.size(F.array_remove(F.array_remove(kinds, other), third)).cast("bigint").alias(f"n_{kind}")
+              for kind, other, third in (("assign", "access", "hex"), ("access", "assign", "hex"), ("hex", "assign", "access"))]
+    return found.select("doc_id", *counts, spans.alias("spans")).withColumn("base_sha256", F.sha2("spans", 256))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned from the labels outside fold 1 of 3."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -32,6 +46,7 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeated_words": op1_repeated_words,
+    "op5_secrets": op5_secrets,
     "op9_quality": op9_quality,
     "op10_near_copies": op10_near_copies,
 }

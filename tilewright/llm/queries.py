@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import near_copies, quality, repeats, secrets
+from tilewright.llm import near_copies, phrases, quality, repeats, secrets
 from tilewright.llm.shared import table
 from tilewright.session import scratch_path
 
@@ -18,6 +18,13 @@ def op1_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 13 words; a text is contaminated from a twentieth of its words on."""
+    found = phrases.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share=20)
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new ledger over all documents; the documents are the paths."""
     docs = table(spark, sf_dir, "documents")
@@ -46,6 +53,7 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeated_words": op1_repeated_words,
+    "op3_phrases": op3_phrases,
     "op5_secrets": op5_secrets,
     "op9_quality": op9_quality,
     "op10_near_copies": op10_near_copies,

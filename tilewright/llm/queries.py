@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import near_copies, phrases, quality, repeats, secrets
+from tilewright.llm import near_copies, packing, phrases, quality, repeats, secrets, token_counts
 from tilewright.llm.shared import table
 from tilewright.session import scratch_path
 
@@ -18,6 +18,18 @@ def op1_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 def op3_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 13 words; a text is contaminated from a twentieth of its words on."""
     found = phrases.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share=20)
@@ -38,6 +50,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, spans.alias("spans")).withColumn("base_sha256", F.sha2("spans", 256))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 4096 tokens; id 2 ends a document."""
+    cut = packing.pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
+    return packing.packed(cut.drop("ids")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned from the labels outside fold 1 of 3."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -53,8 +71,10 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeated_words": op1_repeated_words,
+    "op2_token_counts": op2_token_counts,
     "op3_phrases": op3_phrases,
     "op5_secrets": op5_secrets,
+    "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_near_copies": op10_near_copies,
 }

@@ -48,9 +48,12 @@ class Rule:
 
     def least_common(self, size: int) -> int:
         """Values that two linked texts share among the ``size`` smallest of their union, but for a chance of ``MISS``."""
-        t, tail, s = self.num / self.den, 0.0, 0
+        t, s, tail = self.num / self.den, 0, 0.0
+        if t >= 1:
+            return size
+        whole = math.lgamma(size + 1)
         while True:
-            tail += math.comb(size, s) * t**s * (1 - t) ** (size - s)
+            tail += math.exp(whole - math.lgamma(s + 1) - math.lgamma(size - s + 1) + s * math.log(t) + (size - s) * math.log(1 - t))
             if tail > MISS:
                 return s
             s += 1
@@ -203,8 +206,19 @@ def _overlaps(rows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def cell_links(sigs: list[int], own: list[int], sets: list[np.ndarray], rule: Rule, across: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the linked pairs of one cell; ``across`` asks for pairs of two blocks only."""
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Common values of two sorted sets."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def cell_links(sigs: list[int], own: list[int], sets: list[np.ndarray], rule: Rule, across: bool, least: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the linked pairs of one cell; ``across`` asks for pairs of two blocks only.
+
+    The estimate looks at the part of the union that both sketches cover: the values up to the smaller of
+    their largest ones. Where both sketches are whole sets it is exact.
+    """
     n = np.array([len(s) for s in sets])
     i, j = np.triu_indices(len(sigs), 1)
     ok = rule.den * np.minimum(n[i], n[j]) >= rule.num * np.maximum(n[i], n[j])
@@ -214,18 +228,10 @@ def cell_links(sigs: list[int], own: list[int], sets: list[np.ndarray], rule: Ru
     if not len(i):
         return []
     heads = [s[: rule.sketch] for s in sets]
-    common = _overlaps(heads)
+    whole = n <= rule.sketch
     tops = np.array([h[-1] for h in heads])
-    tops[n <= rule.sketch] = np.iinfo(np.uint64).max
-    below = np.stack([np.searchsorted(h, tops, "right") for h in heads])
-    edge = np.minimum(tops[i], tops[j])
-    seen_i = np.where(edge == tops[i], np.array([len(h) for h in heads])[i], below[i, j])
-    seen_j = np.where(edge == tops[j], np.array([len(h) for h in heads])[j], below[j, i])
-    union = seen_i + seen_j - common[i, j]
-    whole = edge == np.iinfo(np.uint64).max
-    least = np.array([rule.least_common(int(u)) for u in range(int(union.max()) + 1)])
-    sure = whole & (rule.den * common[i, j] >= rule.num * union)
-    maybe = ~whole & (common[i, j] >= least[union])
+    tops[whole] = np.iinfo(np.uint64).max
+    common = _overlaps(heads) if len(sigs) > 8 else None
     root = list(range(len(sigs)))
 
     def top(x: int) -> int:
@@ -235,25 +241,31 @@ def cell_links(sigs: list[int], own: list[int], sets: list[np.ndarray], rule: Ru
         return x
 
     links = []
-    for x, y in zip(i[sure].tolist(), j[sure].tolist()):
-        if (p := top(x)) != (q := top(y)):
+    for x, y in zip(i.tolist(), j.tolist()):
+        p, q = top(x), top(y)
+        if p == q:
+            continue
+        both = int(common[x, y]) if common is not None else _common(heads[x], heads[y])
+        if not (whole[x] and whole[y]):
+            edge = min(tops[x], tops[y])
+            union = int(heads[x].searchsorted(edge, "right") + heads[y].searchsorted(edge, "right")) - both
+            if both < least[union]:
+                continue
+            both = _common(sets[x], sets[y])
+        if rule.den * both >= rule.num * int(n[x] + n[y] - both):
             root[p] = q
             links.append((sigs[x], sigs[y]))
-    for x, y in zip(i[maybe].tolist(), j[maybe].tolist()):
-        if (p := top(x)) != (q := top(y)):
-            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if rule.den * both >= rule.num * (n[x] + n[y] - both):
-                root[p] = q
-                links.append((sigs[x], sigs[y]))
     return links
 
 
 def _linker(rule: Rule):
+    least = np.array([rule.least_common(u) for u in range(2 * rule.sketch + 1)])
+
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sigs, own, sets = None, [], [], []
 
         def close() -> Iterator[pa.RecordBatch]:
-            found = cell_links(sigs, own, sets, rule, key[1] != key[2]) if len(sigs) > 1 else []
+            found = cell_links(sigs, own, sets, rule, key[1] != key[2], least) if len(sigs) > 1 else []
             if found:
                 yield pa.record_batch({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 

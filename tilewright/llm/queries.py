@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import near_copies, packing, phrases, quality, repeats, secrets, token_counts
+from tilewright.llm import language_model, near_copies, packing, phrases, quality, repeats, secrets, token_counts
 from tilewright.llm.shared import table
 from tilewright.session import scratch_path
 
@@ -50,6 +50,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, spans.alias("spans")).withColumn("base_sha256", F.sha2("spans", 256))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from the documents outside fold 2 of 7."""
+    return language_model.scores(table(spark, sf_dir, "documents"), quality.in_fold("doc_id", 7, 2))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 4096 tokens; id 2 ends a document."""
     cut = packing.pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_phrases": op3_phrases,
     "op5_secrets": op5_secrets,
+    "op6_language_model": op6_language_model,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_near_copies": op10_near_copies,

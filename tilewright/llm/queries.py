@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import language_model, near_copies, packing, phrases, quality, repeats, secrets, token_counts
+from tilewright.llm import language_model, near_copies, nearest_vectors, packing, phrases, quality, repeats, secrets, token_counts
 from tilewright.llm.shared import table
 from tilewright.session import scratch_path
 
@@ -55,6 +55,11 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(table(spark, sf_dir, "documents"), quality.in_fold("doc_id", 7, 2))
 
 
+def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten neighbours of every vector whose id is divisible by 100."""
+    return nearest_vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 4096 tokens; id 2 ends a document."""
     cut = packing.pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_phrases": op3_phrases,
     "op5_secrets": op5_secrets,
     "op6_language_model": op6_language_model,
+    "op7_nearest_vectors": op7_nearest_vectors,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_near_copies": op10_near_copies,

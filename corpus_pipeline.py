@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm import near_copies, packing, phrases, quality, secrets
 from tilewright.llm.queries import vocabulary
-from tilewright.llm.shared import stored, table
+from tilewright.llm.shared import stored, table, unused
 from tilewright.session import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,31 +22,35 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from all labels."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, keep=docs.columns).where("score >= 0.5").select(*docs.columns)
+    score = unused("score", docs.columns)
+    return quality.scored(docs, model, keep=docs.columns, out=score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, 0.8); a document without words is no copy."""
     found = near_copies.near_copies(docs, near_copies.Rule(words=5, num=80, den=100))
-    gone = found.where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    gone = unused("gone", docs.columns)
+    copies = found.where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(copies, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages cover a twentieth or more go."""
     found = phrases.contamination(docs, table(spark, sf_dir, "benchmark"), window=13, share=20)
-    gone = stored(found.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct(), "contaminated")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_mark"))
-    return docs.join(gone, same, "left_anti")
+    gone, mark = unused("gone", docs.columns), unused("mark", docs.columns)
+    hit = stored(found.where("contaminated").select(F.col("doc_id").alias(gone), F.col("mark").alias(mark)).distinct(), "contaminated")
+    same = F.col("doc_id").eqNullSafe(F.col(gone)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(mark))
+    return docs.join(hit, same, "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Found secrets are replaced by a mark; ``n_chars`` follows the text."""
     ledger = secrets.Ledger(spark, scratch_path(spark, "ledger"))
     ledger.scan(docs)
-    found = ledger.of_paths(docs, docs.columns)
-    hit = F.size("found") > 0
-    return found.withColumn("text", secrets.redacted(F.col("text"), F.col("found"))).withColumn(
+    spans = unused("found", docs.columns)
+    found = ledger.of_paths(docs, docs.columns, out=spans)
+    hit = F.size(spans) > 0
+    return found.withColumn("text", secrets.redacted(F.col("text"), F.col(spans))).withColumn(
         "n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

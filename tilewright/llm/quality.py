@@ -96,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     return np.frombuffer(model["weights"]), np.frombuffer(model["squares"]), model["constant"]
 
 
-def _scorer(model, dims: int, text: str, keep: list[str]):
+def _scorer(model, dims: int, text: str, keep: list[str], out: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, squares, constant = model.value
         for batch in batches:
@@ -109,7 +109,7 @@ def _scorer(model, dims: int, text: str, keep: list[str]):
                 of = sums[:, bounds[1:]] - sums[:, bounds[:-1]]
                 found.append((of[0] + constant) / np.sqrt(1 + of[1]))
             marks = pa.array(1 / (1 + np.exp(-2 * np.concatenate(found))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), marks], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), marks], [*keep, out])
 
     return score
 
@@ -119,8 +119,8 @@ def in_fold(doc_id: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and ``score``: 0 to 1, higher where class 1 is likelier."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", keep: Sequence[str] = ("doc_id",), out: str = "score") -> DataFrame:
+    """The columns ``keep`` and ``out``: 0 to 1, higher where class 1 is likelier."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = StructType([docs.schema[c] for c in keep]).add("score", "double")
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(_scorer(shared, len(model[0]), text, list(keep)), kinds)
+    kinds = StructType([docs.schema[c] for c in keep]).add(out, "double")
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(_scorer(shared, len(model[0]), text, list(keep), out), kinds)

@@ -34,8 +34,8 @@ LAST = (1 << 63) - 1
 
 
 def gram_of(length: int) -> int:
-    """Words per seed: a quarter of the length, more where a run would pass 63 windows."""
-    return max(1, length // 4, length - 62)
+    """Words per seed: a quarter of the length, more where a run would pass 62 windows, the bits of a mask."""
+    return max(1, length // 4, length - 61)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -121,7 +121,8 @@ def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
     earliest = windows.groupBy("anchor", "code").agg(F.min("first").alias("low"))
     masks = windows.join(earliest, ["anchor", "code"]).where("low < first").groupBy("anchor", "class").agg(
         F.bit_or(F.expr("shiftleft(1L, at)")).alias("part"))
-    rulings = classes.select("anchor", "class", "first").join(masks, ["anchor", "class"], "left")
+    # written, so that the join below deals out nothing but its two inputs and a frequent class can be split
+    rulings = stored(classes.select("anchor", "class", "first").join(masks, ["anchor", "class"], "left"), "rulings")
     whole = F.expr("shiftleft(1L, cast(n as int)) - 1")
     return found.select("anchor", "class", "key", "mark", "start", "n").join(rulings, ["anchor", "class"]).select(
         "key", "mark", "start", F.when(F.col("key") > F.col("first"), whole).otherwise(F.coalesce("part", F.lit(0))).alias("mask")).where("mask != 0")

@@ -19,6 +19,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.llm.shared import unused
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -99,11 +101,12 @@ class Ledger:
             x["start"].alias("start"), F.array_position(names, F.col("rule")).alias("place"), x["end"].alias("end"), x["kind"].alias("kind"))).alias("found"))
         return rows.groupBy("blob_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
 
-    def of_paths(self, versions: DataFrame, columns: Sequence[str], text: str = "text", rules: Sequence[Rule] = BASE_RULES) -> DataFrame:
-        """``columns`` of every version, and ``found``: the findings of its blob, an empty array without any."""
-        paths = versions.select(*columns, blob_id(text).alias("_blob"))
-        found = self.findings(rules).withColumnRenamed("blob_id", "_blob")
-        return paths.join(found, "_blob", "left").select(*columns, F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
+    def of_paths(self, versions: DataFrame, columns: Sequence[str], text: str = "text", rules: Sequence[Rule] = BASE_RULES, out: str = "found") -> DataFrame:
+        """``columns`` of every version, and ``out``: the findings of its blob, an empty array without any."""
+        blob = unused("blob", [*columns, out])
+        paths = versions.select(*columns, blob_id(text).alias(blob))
+        found = self.findings(rules).select(F.col("blob_id").alias(blob), F.col("found").alias(out))
+        return paths.join(found, blob, "left").select(*columns, F.coalesce(out, F.array().cast(found.schema[out].dataType)).alias(out))
 
 
 def redacted(text: Column, found: Column, mark: str = "[secret]") -> Column:

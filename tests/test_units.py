@@ -1,6 +1,7 @@
 """Edge rows and invariants on small frames; brute force where SQL is too slow."""
 
 import math
+import os
 import random
 
 import pytest
@@ -162,13 +163,63 @@ def test_single_child_box_is_kept(spark):
     assert got["p"] == box and abs(got["q"][0] - 11.0) < 1e-9 and abs(got["q"][3] - 14.0 * 1.05) < 1e-9
 
 
-def test_manifests_split_when_a_subtree_outgrows_the_limit(spark):
-    rows = [("root", None, 8.0, None)] + [("wte", "root", 4.0, None)] + [("wte" + c, "wte", 2.0, "u" + c) for c in "bcd"]
+def test_manifest_links_are_relative_to_their_document(spark):
+    rows = [("root", None, 8.0, None), ("wte", "root", 4.0, None)] + [("wte" + c, "wte", 2.0, "tiles/" + c) for c in "bcd"]
     df = spark.createDataFrame([(*r, [0.0] * 12) for r in rows], "geohash string, parent string, error double, uri string, box array<double>")
     one = tiles.manifests(df, 9, "t").collect()
-    two = tiles.manifests(df, 9, "t", limit=2).collect()
-    assert [r.path for r in one] == ["tileset.json"] and one[0].content.count('"geohash"') == 5
-    assert sorted(r.path for r in two) == ["subtilesets/w/wte/tileset.json", "tileset.json"]
+    two = {r.path: r.content for r in tiles.manifests(df, 3, "t").collect()}
+    assert [r.path for r in one] == ["tileset.json"] and one[0].content.count('"uri":"tiles/') == 3
+    assert sorted(two) == ["subtilesets/w/wte/tileset.json", "tileset.json"]
+    assert two["subtilesets/w/wte/tileset.json"].count('"uri":"../../../tiles/') == 3
+
+
+def test_spheres_are_folded_in_order(spark):
+    def fold(rows):
+        x, y, z, r = rows[0]
+        for a, b, c, q in rows[1:]:
+            d = math.dist((x, y, z), (a, b, c))
+            if r >= d + q:
+                continue
+            if q >= d + r:
+                x, y, z, r = a, b, c, q
+                continue
+            g = (d + r + q) / 2
+            t = (g - r) / d
+            x, y, z, r = x + (a - x) * t, y + (b - y) * t, z + (c - z) * t, g
+        return x, y, z, r
+
+    rnd = random.Random(9)
+    rows = [(k, n * 10**11 * (-1) ** k, *(rnd.random() * 50 for _ in range(3)), rnd.random() * 5) for k in (1, 2, 3) for n in range(40)]
+    got = {r.k: (r.x, r.y, r.z, r.r) for r in tiles.merge_spheres(spark.createDataFrame(rows, "k int, o bigint, x double, y double, z double, r double").repartition(5), "k", "o").collect()}
+    for k in (1, 2, 3):
+        want = fold([r[2:] for r in sorted((r for r in rows if r[0] == k), key=lambda r: r[1])])
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[k], want))
+
+
+def test_piles_loops_and_branches_of_parts(spark):
+    loop = dict(ex=0.0, ey=0.0, edx=1.0)
+    rows = [part(i, 0, 0, length=4.0, **loop) for i in (1, 2, 3, 4)]
+    rows += [part(10, 100, 110), part(11, 110, 120), part(12, 200, 210), part(13, 200, 210), part(14, 200, 210), part(15, 210, 220), part(20, 300, 310), part(21, 310, 320), part(22, 310, 320), part(23, 310, 330)]
+    rows += [part(30, 400, 400.04), part(31, 400.04, 410), part(40, 500, 500.03)]
+    got = sorted((r.part_id, r.next) for r in chains.links(parts_frame(spark, rows)).collect())
+    want = []
+    frame = parts_frame(spark, rows).collect()
+    meets = {p.part_id: [q.part_id for q in frame if (p.part_id == q.part_id) == p.closed and (p.part_id == q.part_id or not q.closed) and math.hypot(p.ex - q.sx, p.ey - q.sy) <= 0.05] for p in frame}
+    for p, to in meets.items():
+        if len(to) == 1 and sum(to[0] in other for other in meets.values()) == 1:
+            want.append((p, to[0]))
+    assert got == sorted(want) and {(1, 1), (2, 2), (3, 3), (4, 4), (10, 11)} <= set(got)
+
+
+def test_vertical_moves_have_no_direction_and_no_station(spark):
+    line = [(0.0, 0.0, 0.0), (0.0, 0.0, 2.0), (5.0, 0.0, 2.0), (5.0, 0.0, 3.0), (10.0, 0.0, 3.0), (10.0, 0.0, 9.0)]
+    v = spark.createDataFrame([(1, i, *p) for i, p in enumerate(line)], "line_id int, i bigint, x double, y double, z double")
+    st = lines.stations(lines.segments_of(v))
+    posts = sorted((r.station, r.x, r.z, r.fx) for r in lines.samples_at(st, lines.post_stations(4.0)).collect())
+    assert posts == [(0.0, 0.0, 2.0, 1.0), (4.0, 4.0, 2.0, 1.0), (8.0, 8.0, 3.0, 1.0), (10.0, 10.0, 3.0, 1.0)]
+    assert sorted(r.ord for r in lines.vertices_of(st).collect()) == [0, 1, 2, 3, 4, 5]
+    end = chains.part_ends(st.withColumnRenamed("line_id", "part_id")).first()
+    assert (end.sz, end.ez, end.sdx, end.edx) == (0.0, 9.0, 1.0, 1.0)
 
 
 def test_wkt_and_points(spark):
@@ -212,3 +263,31 @@ def test_stream_upserts_over_several_batches(spark, tmp_path):
     got = {r.k: r.v for r in jobs.newest_version(spark, out).collect()}
     want = {r.k: r.v for r in spark.read.parquet(src).groupBy("k").agg(F.max("v").alias("v")).collect()}
     assert got == want
+
+
+def test_stream_rebuild_empties_touched_cells(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for n, rows in enumerate([[(1, 5), (2, 6)], [(3, 5), (3, 7)], [(-1, 6)]]):
+        spark.createDataFrame(rows, "v bigint, cell bigint").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("v bigint, cell bigint").option("maxFilesPerTrigger", 1).parquet(src)
+    got = jobs.incremental_rebuild(stream, lambda b: (b.where("v > 0"), b.select("cell")), out, ["cell"]).collect()
+    assert sorted(tuple(r) for r in got) == [(3, 5), (3, 7)]
+
+
+def test_rotations_of_small_groups_and_of_lines(spark):
+    from tilewright.operators import shapes
+
+    rows = [(g, k, x * size, y * size, z * size, x * size + 1, y * size + 2, z * size + 3) for g, size in ((1, 0.005), (2, 5.0)) for k, (x, y, z) in enumerate([(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)])]
+    rows += [(3, k, float(k), 2.0 * k, 0.0, float(k), 2.0 * k, 0.0) for k in range(4)]
+    df = spark.createDataFrame([(g, k, *map(float, v)) for g, k, *v in rows], "grp int, k int, mx double, my double, mz double, tx double, ty double, tz double")
+    out, _ = shapes.solve_registration(df)
+    assert sorted(r.grp for r in out.collect()) == [1, 2]
+    assert [(r.grp, r.n) for r in shapes.unsolvable(df).collect()] == [(3, 4)]
+
+
+def test_queries_load_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 100"
+    assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__)))).returncode == 0

@@ -115,13 +115,13 @@ def snk4(spark, sf):
 
 
 @query("SNK1_partition_upsert", f"""
-    WITH o AS (SELECT {geohash('lng', 'lat', 5)} AS geohash, count(*) AS total_count FROM ({P}) WHERE id % 2 = 0 GROUP BY 1),
-    n AS (SELECT {geohash('lng', 'lat', 5)} AS geohash, count(*) AS total_count FROM ({P}) WHERE id % 3 = 0 AND alt > 20 GROUP BY 1)
+    WITH o AS (SELECT {geohash('lng', 'lat', 6)} AS geohash, count(*) AS total_count FROM ({P}) WHERE id % 2 = 0 GROUP BY 1),
+    n AS (SELECT {geohash('lng', 'lat', 6)} AS geohash, count(*) AS total_count FROM ({P}) WHERE id % 2 <> 0 GROUP BY 1)
     SELECT coalesce(o.geohash, n.geohash) AS geohash, coalesce(n.total_count, o.total_count) AS total_count, CASE WHEN o.geohash IS NULL THEN 'new' ELSE 'old' END AS origin FROM o FULL JOIN n ON o.geohash = n.geohash""")
 def snk1(spark, sf):
-    df = POINTS.frame(spark, sf).withColumn("geohash", cells.point_hash(c("lng"), c("lat"), 5))
-    side = lambda d, n: d.groupBy("geohash").agg(F.count("*").alias("total_count")).withColumns({"level": F.lit(5), "origin": F.lit(n)})
-    out = sn.upsert(side(df.where("id % 2 = 0"), "old"), side(df.where("id % 3 = 0 AND alt > 20"), "new"), ["geohash", "level"], ["total_count"])
+    df = POINTS.frame(spark, sf).withColumn("geohash", cells.point_hash(c("lng"), c("lat"), 6))
+    side = lambda d, n: d.groupBy("geohash").agg(F.count("*").alias("total_count")).withColumns({"level": F.lit(6), "origin": F.lit(n)})
+    out = sn.upsert(side(df.where("id % 2 = 0"), "old"), side(df.where("id % 2 <> 0"), "new"), ["geohash", "level"], ["total_count"])
     return out.select("geohash", "total_count", "origin")
 
 
@@ -294,11 +294,11 @@ def st1(spark, sf):
 
 
 @query("ST2_dirty_windows", f"""
-    WITH e AS (SELECT time_bucket(INTERVAL 6 HOUR, update_time, TIMESTAMP '2000-01-01 00:00:00') AS st, id % 16 AS cell FROM ({ED})), t AS (SELECT max(update_time) AS top FROM ({ED}))
-    SELECT epoch_us(st) AS us, cell, count(*) AS edits FROM e, t WHERE st + INTERVAL 6 HOUR <= date_trunc('milliseconds', top) GROUP BY 1, 2""")
+    SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, update_time, TIMESTAMP '2000-01-01 00:00:00')) AS us, id % 16 AS cell, count(*) AS edits FROM ({ED}) GROUP BY 1, 2""")
 def st2(spark, sf):
-    out = jobs.run_available(jobs.dirty_windows(edit_stream(spark, sf), c("id") % 16, "6 hours"), jobs.stream_path(spark, "windows"))
-    return out.select(F.unix_micros("start").alias("us"), "cell", "edits")
+    path = jobs.stream_path(spark, "windows")
+    jobs.run_available(jobs.dirty_windows(edit_stream(spark, sf), c("id") % 16, "6 hours"), path, "update", jobs.upsert_batches(path, ["start", "cell"], "edits"))
+    return jobs.newest_version(spark, path).select(F.unix_micros("start").alias("us"), "cell", "edits")
 
 
 REBUILT = f"""
@@ -314,7 +314,7 @@ def st3(spark, sf):
     def rebuild(batch):
         touched = points.join(batch.where("del_flag = '1'").select("id").distinct(), "id", "left_semi").select("lng", "lat")
         groups, _ = build.rebuild(points, touched, lv, BOUND)
-        return groups.select("level", "cell", "table_name", "model", "instances")
+        return groups.select("level", "cell", "table_name", "model", "instances"), build.dirty_leaves(touched, lv)[0]
 
     out = jobs.incremental_rebuild(edit_stream(spark, sf), rebuild, jobs.stream_path(spark, "tiles"), ["level", "cell"])
     return out.select(cells.code_to_hash_at(c("cell"), c("level")).alias("geohash"), "model", "instances")

@@ -205,9 +205,9 @@ def layer_columns(df):
 
 @query("SRC2_layer_scan_by_cell", f"""
     WITH i AS ({LAYER_SQL}) SELECT substr({geohash('lng', 'lat', 6)}, 1, 6) AS geohash, table_name, count(*) AS n, min(id) AS first_id, {r('sum(alt)', 3)} AS alts
-    FROM i WHERE table_name NOT IN ('hdroad_side_facility', 'hdservice_equ_area', 'hdservice_area') GROUP BY 1, 2""")
+    FROM i GROUP BY 1, 2""")
 def src2(spark, sf):
-    df = all_layers(spark, sf).where(~c("table_name").isin("hdroad_side_facility", "hdservice_equ_area", "hdservice_area"))
+    df = all_layers(spark, sf)
     return df.groupBy(cells.code_to_hash(c("cell"), 6).alias("geohash"), "table_name").agg(
         F.count("*").alias("n"), F.min("id").alias("first_id"), F.round(F.sum("alt"), 3).alias("alts"))
 
@@ -289,6 +289,32 @@ def changes(spark, sf):
     return known.unionByName(ghosts)
 
 
+def repeated_changes(spark, sf):
+    """``changes`` with an older and a name-only change before and behind, and nulls submitted for some grades."""
+    base, none = changes(spark, sf), F.lit(None).cast("string")
+    number = F.try_to_number("record_key", F.lit("9999999999"))
+    older = base.select("record_key", F.lit("older").alias("name"), F.lit("older").alias("grade"), F.lit(1).alias("at"), F.array().cast("array<string>").alias("said"))
+    middle = base.select("*", F.lit(2).alias("at"), F.array().cast("array<string>").alias("said"))
+    named = base.where(number % 9 == 0).select("record_key", F.concat(F.lit("M"), "record_key").alias("name"), none.alias("grade"), F.lit(3).alias("at"), F.array().cast("array<string>").alias("said"))
+    emptied = base.where(number % 15 == 0).select("record_key", none.alias("name"), none.alias("grade"), F.lit(4).alias("at"), F.array(F.lit("grade")).alias("said"))
+    return older.unionByName(middle).unionByName(named).unionByName(emptied)
+
+
+NEW_NAME = "CASE WHEN id % 9 = 0 THEN 'M' ELSE 'N' END || CAST(id AS VARCHAR)"
+NEW_GRADE = "CASE WHEN id % 15 = 0 THEN NULL ELSE 'g' || CAST(nation AS VARCHAR) END"
+
+
+@query("P10_repeated_changes", f"""
+    SELECT CAST(id AS VARCHAR) AS k, CASE WHEN id % 3 = 0 THEN {NEW_NAME} ELSE name END AS name, CASE WHEN id % 3 = 0 THEN {NEW_GRADE} ELSE segment END AS grade,
+       CASE WHEN id % 3 = 0 THEN concat('{{"grade":', coalesce('"' || {NEW_GRADE} || '"', 'null'), ',"name":"', {NEW_NAME}, '"}}') END AS new_values FROM ({L})
+    UNION ALL SELECT 'x' || CAST(id AS VARCHAR), 'not found', NULL, NULL FROM ({L}) WHERE id % 30 = 0""")
+def p10_repeated(spark, sf):
+    snap, audit, missing = s.update(LAYER.frame(spark, sf), FIELDS, repeated_changes(spark, sf), "t", "s", "layer", order="at", submitted="said")
+    rows = snap.select(c("id").cast("string").alias("k"), "name", F.get_json_object("props", "$.grade").alias("grade")).join(
+        audit.select(c("record_key").alias("k"), "new_values"), "k", "left")
+    return rows.unionByName(missing.select(c("record_key").alias("k"), F.lit("not found").alias("name")), allowMissingColumns=True)
+
+
 @query("P10_audited_update", f"""
     SELECT CAST(id AS VARCHAR) AS k, CASE WHEN id % 3 = 0 THEN 'N' || CAST(id AS VARCHAR) ELSE name END AS name,
        CASE WHEN id % 3 = 0 THEN 'g' || CAST(nation AS VARCHAR) ELSE segment END AS grade, CAST(nation AS VARCHAR) AS owner,

@@ -104,8 +104,8 @@ def a18(spark, sf):
 
 @query("A17_one_to_one", f"""
     WITH p AS (SELECT model AS a, content AS b FROM ({AS}))
-    SELECT a AS key, count(DISTINCT b) AS partners, min(b) AS first, max(b) AS last, 'model' AS side FROM p GROUP BY 1 HAVING count(DISTINCT b) > 1
-    UNION ALL SELECT b, count(DISTINCT a), min(a), max(a), 'content' FROM p GROUP BY 1 HAVING count(DISTINCT a) > 1""")
+    SELECT DISTINCT a AS key, b AS partner, n AS partners, 'model' AS side FROM p JOIN (SELECT a, count(DISTINCT b) AS n FROM p GROUP BY 1) USING (a) WHERE n > 1 AND b IS NOT NULL
+    UNION ALL SELECT DISTINCT b, a, n, 'content' FROM p JOIN (SELECT b, count(DISTINCT a) AS n FROM p GROUP BY 1) USING (b) WHERE n > 1 AND a IS NOT NULL""")
 def a17(spark, sf):
     return sh.one_to_one(ASSETS.frame(spark, sf).select("model", "content"), "model", "content")
 
@@ -171,8 +171,8 @@ ROT = "mx * cos(theta) - my * sin(theta) + tx AS gx, mx * sin(theta) + my * cos(
 
 @query("A16_registration_solve", f"""
     WITH p AS ({CONTROL_POINTS.sql()}), m AS (SELECT grp, count(*) AS n, any_value(theta) AS theta, any_value(tx) AS tx, any_value(ty) AS ty, any_value(tz) AS tz,
-      var_pop(mx) * var_pop(my) - power(covar_pop(mx, my), 2) + var_pop(mx) * var_pop(mz) - power(covar_pop(mx, mz), 2) + var_pop(my) * var_pop(mz) - power(covar_pop(my, mz), 2) AS minors FROM p GROUP BY 1)
-    SELECT grp, n, {r('sin(theta / 2)', 6)} AS qz, {r('cos(theta / 2)', 6)} AS qw, {r('tx', 4)} AS dx, {r('ty', 4)} AS dy, {r('tz', 4)} AS dz, CAST(0 AS DOUBLE) AS rms, CAST(0 AS DOUBLE) AS worst FROM m WHERE minors > 1e-9""")
+      var_pop(mx) * var_pop(my) - power(covar_pop(mx, my), 2) + var_pop(mx) * var_pop(mz) - power(covar_pop(mx, mz), 2) + var_pop(my) * var_pop(mz) - power(covar_pop(my, mz), 2) AS minors, var_pop(mx) + var_pop(my) + var_pop(mz) AS spread FROM p GROUP BY 1)
+    SELECT grp, n, {r('sin(theta / 2)', 6)} AS qz, {r('cos(theta / 2)', 6)} AS qw, {r('tx', 4)} AS dx, {r('ty', 4)} AS dy, {r('tz', 4)} AS dz, CAST(0 AS DOUBLE) AS rms, CAST(0 AS DOUBLE) AS worst FROM m WHERE minors > power(spread, 2) * 1e-12""")
 def a16(spark, sf):
     p = CONTROL_POINTS.frame(spark, sf).selectExpr("*", *ROT.split(", ")).select(
         "grp", "k", "mx", "my", "mz", c("gx").alias("tx"), c("gy").alias("ty"), c("gz").alias("tz"))

@@ -174,12 +174,13 @@ def manifest_nodes(spark, sf):
 
 @query("SNK2_split_manifests", f"""
     WITH leaf AS (SELECT DISTINCT {COARSE} AS h FROM ({P}) WHERE {OK} AND {INB})
-    SELECT 'subtilesets/' || substr(h, 1, 2) || '/' || substr(h, 1, 4) || '/tileset.json' AS path, count(*) + 1 AS n FROM leaf GROUP BY substr(h, 1, 2), substr(h, 1, 4)
-    UNION ALL SELECT 'tileset.json', count(DISTINCT substr(h, 1, 4)) + count(DISTINCT substr(h, 1, 3)) + 1 FROM leaf""")
+    SELECT 'subtilesets/' || substr(h, 1, 2) || '/' || substr(h, 1, 4) || '/tileset.json' AS path, count(*) + 1 AS n, count(*) AS rebased FROM leaf GROUP BY substr(h, 1, 2), substr(h, 1, 4)
+    UNION ALL SELECT 'tileset.json', count(DISTINCT substr(h, 1, 4)) + count(DISTINCT substr(h, 1, 3)) + 1, 0 FROM leaf""")
 def snk2(spark, sf):
     docs = tl.manifests(manifest_nodes(spark, sf), 4, "20240101000000")
     count = F.size(F.split("content", '"geohash":')) - 1
-    return docs.select("path", count.cast("bigint").alias("n"))
+    rebased = F.size(F.split("content", '"uri":"../../../tiles/', -1)) - 1
+    return docs.select("path", count.cast("bigint").alias("n"), rebased.cast("bigint").alias("rebased"))
 
 
 @query("A10_union_volumes", f"""
@@ -220,14 +221,14 @@ def a13(spark, sf):
 
 
 @query("A25_combined_bounds", f"""
-    WITH q AS (SELECT id, lng - 0.002 AS w, lat - 0.002 AS s, lng + 0.002 AS e, lat + 0.002 AS n FROM ({P}) WHERE id % 10 = 3),
+    WITH q AS (SELECT id, lng - 0.002 AS w, lat - 0.002 AS s, lng + 0.002 AS e, lat + 0.002 AS n FROM ({P})),
     b AS (SELECT px0 AS bw, py0 AS bs, px2 AS be, py2 AS bn FROM ({PG}))
     SELECT id, coalesce(min(bw), any_value(w)) AS w, coalesce(min(bs), any_value(s)) AS s, coalesce(max(be), any_value(e)) AS e, coalesce(max(bn), any_value(n)) AS n
     FROM q LEFT JOIN b ON bw <= e AND be >= w AND bs <= n AND bn >= s GROUP BY id""")
 def a25(spark, sf):
     from tilewright.operators.boxes import combined_bounds
 
-    q = POINTS.frame(spark, sf).where("id % 10 = 3").select("id", (c("lng") - 0.002).alias("w"), (c("lat") - 0.002).alias("s"), (c("lng") + 0.002).alias("e"), (c("lat") + 0.002).alias("n"))
+    q = POINTS.frame(spark, sf).select("id", (c("lng") - 0.002).alias("w"), (c("lat") - 0.002).alias("s"), (c("lng") + 0.002).alias("e"), (c("lat") + 0.002).alias("n"))
     b = POLYGONS.frame(spark, sf).select(c("px0").alias("w"), c("py0").alias("s"), c("px2").alias("e"), c("py2").alias("n"))
     return combined_bounds(q, b, "id")
 

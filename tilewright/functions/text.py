@@ -169,13 +169,14 @@ def json_set(document: Column, path: Sequence[str], value: Column) -> Column:
     Values other than text survive because the members are carried as raw JSON.
     """
     members = F.from_json(F.coalesce(document, F.lit("{}")), "map<string,variant>")
+    none = F.parse_json(F.lit("null"))
     if len(path) == 1:
         leaf = F.to_variant_object(F.create_map(F.lit("v"), value))
-        member = F.try_variant_get(leaf, "$.v", "variant")
+        member = F.coalesce(F.try_variant_get(leaf, "$.v", "variant"), none)
     else:
         nested = F.coalesce(F.try_variant_get(F.try_element_at(members, F.lit(path[0])), "$", "map<string,variant>"),
                             F.create_map().cast("map<string,variant>"))
-        leaf = F.try_variant_get(F.to_variant_object(F.create_map(F.lit("v"), value)), "$.v", "variant")
+        leaf = F.coalesce(F.try_variant_get(F.to_variant_object(F.create_map(F.lit("v"), value)), "$.v", "variant"), none)
         inner = F.map_concat(F.map_filter(nested, lambda k, v: k != path[1]), F.create_map(F.lit(path[1]), leaf))
         member = F.parse_json(F.to_json(inner))
     kept = F.map_filter(members, lambda k, v: k != path[0])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.operators import lines
@@ -14,15 +14,21 @@ from tilewright.session import checkpoint
 XY_TOLERANCE, Z_TOLERANCE, MAX_TURN = 0.05, 0.05, 60.0
 
 
-def part_ends(stationed: DataFrame, key: str = "part_id") -> DataFrame:
-    """Start, end, directions there and length of each part, along its stored order."""
-    first = F.struct("x1", "y1", "z1", (F.col("x2") - F.col("x1")).alias("dx"), (F.col("y2") - F.col("y1")).alias("dy"), F.col("length").alias("l"))
-    last = F.struct("x2", "y2", "z2", (F.col("x2") - F.col("x1")).alias("dx"), (F.col("y2") - F.col("y1")).alias("dy"), F.col("length").alias("l"))
-    ends = stationed.groupBy(key).agg(F.min_by(first, "s0").alias("a"), F.max_by(last, "s0").alias("b"), F.max("total").alias("length"))
+def part_ends(stationed: DataFrame, key: str = "part_id", order: str = "i") -> DataFrame:
+    """Start, end, directions there and length of each part, along its stored order.
+
+    Vertical moves have no direction: the first and last moves with a plan length give the directions,
+    while the heights are those of the very ends.
+    """
+    flat = F.col("length") > 0
+    towards = F.struct(((F.col("x2") - F.col("x1")) / F.nullif("length", F.lit(0.0))).alias("dx"), ((F.col("y2") - F.col("y1")) / F.nullif("length", F.lit(0.0))).alias("dy"))
+    at = F.when(flat, F.col(order))
+    ends = stationed.groupBy(key).agg(
+        F.min_by(F.struct("x1", "y1", "z1"), order).alias("a"), F.max_by(F.struct("x2", "y2", "z2"), order).alias("b"),
+        F.min_by(towards, at).alias("u"), F.max_by(towards, at).alias("v"), F.max("total").alias("length"))
     return ends.select(
-        key, "length", F.col("a.x1").alias("sx"), F.col("a.y1").alias("sy"), F.col("a.z1").alias("sz"), (F.col("a.dx") / F.col("a.l")).alias("sdx"),
-        (F.col("a.dy") / F.col("a.l")).alias("sdy"), F.col("b.x2").alias("ex"), F.col("b.y2").alias("ey"), F.col("b.z2").alias("ez"),
-        (F.col("b.dx") / F.col("b.l")).alias("edx"), (F.col("b.dy") / F.col("b.l")).alias("edy"))
+        key, "length", F.col("a.x1").alias("sx"), F.col("a.y1").alias("sy"), F.col("a.z1").alias("sz"), F.col("u.dx").alias("sdx"), F.col("u.dy").alias("sdy"),
+        F.col("b.x2").alias("ex"), F.col("b.y2").alias("ey"), F.col("b.z2").alias("ez"), F.col("v.dx").alias("edx"), F.col("v.dy").alias("edy"))
 
 
 def logical_ends(ends: DataFrame, reverse: str = "reverse") -> DataFrame:
@@ -37,31 +43,33 @@ def logical_ends(ends: DataFrame, reverse: str = "reverse") -> DataFrame:
 def links(parts: DataFrame, key: str = "part_id", group: str = "grp") -> DataFrame:
     """(key, next) for ends that meet exactly one start which meets exactly one end.
 
-    Identical ends cannot be told apart, so two of each are enough to show a branch; that keeps a
-    pile of equal ends from pairing with a pile of equal starts and leaves the result unchanged.
+    A closed part meets itself and nothing else. Open parts are met by place: equal ends, and equal
+    starts, are one row with their number, so a pile of parts costs one row and is still counted in
+    full. A part whose own start lies within reach of its own end is no partner of itself.
     """
-    def at_most_two(df: DataFrame, place: list[str]) -> DataFrame:
-        w = Window.partitionBy(*place).orderBy(key)
-        return df.withColumn("_r", F.row_number().over(w)).where("_r <= 2").drop("_r")
-
-    cell = lambda c: F.floor(F.col(c) / XY_TOLERANCE)
-    ends = at_most_two(parts.select(key, group, "ex", "ey", "ez", "edx", "edy", F.col("closed").alias("ec")), [group, "ex", "ey", "ez", "edx", "edy", "ec"])
-    starts = at_most_two(parts.select(F.col(key).alias("next"), F.col(group).alias("_g"), "sx", "sy", "sz", "sdx", "sdy", F.col("closed").alias("sc"),
-                                      F.col(key).alias(key)), ["_g", "sx", "sy", "sz", "sdx", "sdy", "sc"]).drop(key)
+    closed = parts.where("closed").select(key, F.col(key).alias("next"))
+    opened = checkpoint(parts.where("not closed").select(
+        key, F.struct(F.col(group).alias("g"), *[F.col(c).alias(c[1:]) for c in ("ex", "ey", "ez", "edx", "edy")]).alias("end"),
+        F.struct(F.col(group).alias("g"), *[F.col(c).alias(c[1:]) for c in ("sx", "sy", "sz", "sdx", "sdy")]).alias("start")))
+    cell = lambda c: F.floor(c / XY_TOLERANCE)
     around = F.sequence(F.lit(-1), F.lit(1))
-    spread = ends.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around)).withColumns(
-        {"_cx": cell("ex") + F.col("_dx"), "_cy": cell("ey") + F.col("_dy")})
-    placed = starts.withColumns({"_sx": cell("sx"), "_sy": cell("sy")})
-    met = spread.join(placed, (F.col(group) == F.col("_g")) & (F.col("_cx") == F.col("_sx")) & (F.col("_cy") == F.col("_sy")))
-    self_link = F.col(key) == F.col("next")
-    kinds = F.when(self_link, F.col("ec")).otherwise(~F.col("ec") & ~F.col("sc"))
-    near = F.hypot(F.col("ex") - F.col("sx"), F.col("ey") - F.col("sy")) <= XY_TOLERANCE
-    level = F.abs(F.col("ez") - F.col("sz")) <= Z_TOLERANCE
-    straight = self_link | (F.col("edx") * F.col("sdx") + F.col("edy") * F.col("sdy") >= math.cos(math.radians(MAX_TURN)) - 1e-7)
-    found = checkpoint(met.where(kinds & near & level & straight).select(key, "next"))
-    one_out = found.groupBy(key).agg(F.count("*").alias("n")).where("n = 1").select(key)
-    one_in = found.groupBy("next").agg(F.count("*").alias("n")).where("n = 1").select("next")
-    return found.join(one_out, key, "left_semi").join(one_in, "next", "left_semi").select(key, "next")
+    ends = opened.groupBy("end").agg(F.count("*").alias("n_ends")).withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around)).withColumns(
+        {"_g": F.col("end.g"), "_cx": cell(F.col("end.x")) + F.col("_dx"), "_cy": cell(F.col("end.y")) + F.col("_dy")})
+    starts = opened.groupBy("start").agg(F.count("*").alias("n_starts"), F.min(key).alias("low"), F.max(key).alias("high")).withColumns(
+        {"_g": F.col("start.g"), "_cx": cell(F.col("start.x")), "_cy": cell(F.col("start.y"))})
+    e, s = F.col("end"), F.col("start")
+    near = F.hypot(e["x"] - s["x"], e["y"] - s["y"]) <= XY_TOLERANCE
+    level = F.abs(e["z"] - s["z"]) <= Z_TOLERANCE
+    straight = e["dx"] * s["dx"] + e["dy"] * s["dy"] >= math.cos(math.radians(MAX_TURN)) - 1e-7
+    met = checkpoint(ends.join(starts, ["_g", "_cx", "_cy"]).where(near & level & straight).select("end", "n_ends", "start", "n_starts", "low", "high"))
+    out = met.groupBy("end").agg(F.sum("n_starts").alias("n_out"), F.min("low").alias("low"), F.max("high").alias("high"))
+    into = met.groupBy("start").agg(F.sum("n_ends").alias("n_in"))
+    own = opened.join(met.select("end", "start"), ["end", "start"], "left_semi").select(key, F.lit(1).alias("own"))
+    counted = checkpoint(opened.join(own, key, "left").withColumn("own", F.coalesce("own", F.lit(0))))
+    other = F.when((F.col("own") == 1) & (F.col("low") == F.col(key)), F.col("high")).otherwise(F.col("low"))
+    leaving = counted.join(out, "end").where("n_out - own = 1").select(key, other.alias("next"))
+    arriving = counted.join(into, "start").where("n_in - own = 1").select(F.col(key).alias("next"))
+    return closed.unionByName(leaving.join(arriving, "next", "left_semi").select(key, "next"))
 
 
 def _ranked(parts: DataFrame, back: DataFrame, key: str, limit: int) -> DataFrame:

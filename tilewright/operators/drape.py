@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators import lines
 from tilewright.operators.nearest import segment_distance, within
+from tilewright.operators.ordering import ranked
 
 # Reach and weights of the height search.
 SEARCH, MATCH_REACH, MATCH_RISE, OFFSET = 2.0, 2.0, 1.0, 0.02
@@ -83,8 +84,7 @@ def drape_to_points(vertices: DataFrame, surface: DataFrame, key: str, on: str =
 def drape_lines(vertices: DataFrame, triangles: DataFrame, step: float, reach: float) -> DataFrame:
     """Whole lines onto surfaces: densify, height per sample, gaps filled by station, heights smoothed along the line."""
     dense = lines.densify(lines.segments_of(vertices), step)
-    dense = dense.withColumn("_raw", F.col("seg") * 1_000_000 + F.col("j"))
-    samples = lines.renumber(dense.drop("seg", "j"), "line_id", "_raw").drop("_raw")
+    samples = ranked(dense, ["line_id"], ["seg", "j"], "ord").withColumn("ord", F.col("ord") - 1).drop("seg", "j")
     stationed = lines.stations(lines.segments_of(samples, order="ord"), order="ord")
     vertex = lines.vertices_of(stationed.withColumnRenamed("ord", "i"))
     vertex = vertex.withColumn("sample", F.concat_ws(":", "line_id", "ord"))

@@ -78,9 +78,9 @@ def vertices_of(segments: DataFrame, key: str = "line_id", order: str = "i") ->
     ends = F.array(
         F.struct(F.col(order).alias("ord"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("z1").alias("z"), F.col("s0").alias("station")),
         F.struct((F.col(order) + 1).alias("ord"), F.col("x2").alias("x"), F.col("y2").alias("y"), F.col("z2").alias("z"), F.col("s1").alias("station")))
-    last = F.col("s1") >= F.col("total")
-    kept = F.filter(ends, lambda e: (e["ord"] == F.col(order)) | last)
-    return segments.select(key, F.explode(kept).alias("v")).select(key, "v.*")
+    highest = segments.groupBy(key).agg(F.max(order).alias("_highest"))
+    kept = F.filter(ends, lambda e: (e["ord"] == F.col(order)) | (F.col(order) == F.col("_highest")))
+    return segments.join(highest, key).select(key, F.explode(kept).alias("v")).select(key, "v.*")
 
 
 def line_length(segments: DataFrame, key: str = "line_id") -> DataFrame:
@@ -149,9 +149,12 @@ def dashes(stationed: DataFrame, dash: Column, gap: Column, offset: Column, key:
 
 
 def samples_at(stationed: DataFrame, stations_array: Column, key: str = "line_id", order: str = "i") -> DataFrame:
-    """Points with direction at the stations a segment owns (its end included, its start only on the first)."""
-    rows = stationed.withColumn("station", F.explode(stations_array)).where(
-        ((F.col("station") > F.col("s0")) | (F.col(order) == 0)) & (F.col("station") <= F.col("s1")))
+    """Points with direction at the stations a segment owns (its end included, its start only on the first).
+
+    Vertical moves own no station; a height step counts from the next move on.
+    """
+    rows = stationed.where("length > 0").withColumn("station", F.explode(stations_array)).where(
+        ((F.col("station") > F.col("s0")) | (F.col("s0") == 0)) & (F.col("station") <= F.col("s1")))
     t = (F.col("station") - F.col("s0")) / F.col("length")
     return rows.select(key, "station", order, *[v.alias(a) for a, v in along(t).items()],
                        ((F.col("x2") - F.col("x1")) / F.col("length")).alias("fx"), ((F.col("y2") - F.col("y1")) / F.col("length")).alias("fy"),

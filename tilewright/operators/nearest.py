@@ -34,7 +34,7 @@ def box_gap2(w: Column, s: Column, e: Column, n: Column, bw: Column, bs: Column,
 
 def nearest(
     points: DataFrame, items: DataFrame, point_key: str, distance: Column, order: Sequence[str], carry: Sequence[str], size: float,
-    k: int = 1, on: Sequence[str] = (), rounds: int = 24,
+    k: int = 1, on: Sequence[str] = (),
 ) -> DataFrame:
     """The ``k`` nearest items of every point (px, py), ties broken by ``order``; exact.
 
@@ -55,7 +55,7 @@ def nearest(
         none = points.select(point_key).limit(0).join(items.select(*carry).limit(0), F.lit(True))
         return none.withColumns({"distance": F.lit(0.0), "rank": F.lit(1)})
     whole = max(extent[2], reach[2]) - min(extent[0], reach[0]) + max(extent[3], reach[3]) - min(extent[1], reach[1])
-    for _ in range(rounds):
+    while True:
         last = cell >= whole
         probe = left.withColumns({"_gx": F.floor(F.col("px") / cell), "_gy": F.floor(F.col("py") / cell)})
         if cell == size:

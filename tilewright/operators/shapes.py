@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,34 +164,48 @@ def smooth_sections(sections: DataFrame, key: str = "id", radius: int = 1) -> Da
     return lines.average_by_count(out, radius, key, "sample", "y")
 
 
-def _rotation(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Optimal rotation of one row of centred moments (a 4x4 eigenproblem per row, solved in one batch)."""
-    s = pdf[[f"s{a}{b}" for a in "xyz" for b in "xyz"]].to_numpy().reshape(-1, 3, 3)
-    sxx, sxy, sxz, syx, syy, syz, szx, szy, szz = (s[:, i, j] for i in range(3) for j in range(3))
-    n = np.stack([
-        np.stack([sxx + syy + szz, syz - szy, szx - sxz, sxy - syx], -1), np.stack([syz - szy, sxx - syy - szz, sxy + syx, szx + sxz], -1),
-        np.stack([szx - sxz, sxy + syx, -sxx + syy - szz, syz + szy], -1), np.stack([sxy - syx, szx + sxz, syz + szy, -sxx - syy + szz], -1)], 1)
-    _, vectors = np.linalg.eigh(n)
-    q = vectors[:, :, -1]
-    q = q * np.where(q[:, :1] < 0, -1.0, 1.0)
-    return pdf.assign(qw=q[:, 0], qx=q[:, 1], qy=q[:, 2], qz=q[:, 3])
+def _moments(pairs: DataFrame, key: str) -> DataFrame:
+    """Centroids and covariances per group; ``solvable``: three points or more, and not on one line, judged against their spread."""
+    m = pairs.groupBy(key).agg(
+        F.count("*").alias("n"), *[F.avg(f"{p}{a}").alias(f"c{p}{a}") for p in "mt" for a in "xyz"],
+        *[(F.covar_pop(f"m{a}", f"t{b}")).alias(f"s{a}{b}") for a in "xyz" for b in "xyz"],
+        *[F.covar_pop(f"m{a}", f"m{b}").alias(f"v{a}{b}") for a in "xyz" for b in "xyz" if a <= b])
+    minors = ((F.col("vxx") * F.col("vyy") - F.col("vxy") * F.col("vxy")) + (F.col("vxx") * F.col("vzz") - F.col("vxz") * F.col("vxz"))
+              + (F.col("vyy") * F.col("vzz") - F.col("vyz") * F.col("vyz")))
+    spread = F.col("vxx") + F.col("vyy") + F.col("vzz")
+    return m.withColumn("solvable", (F.col("n") >= 3) & (minors > spread * spread * 1e-12))
+
+
+def unsolvable(pairs: DataFrame, key: str = "grp") -> DataFrame:
+    """Groups of control points that determine no rotation, with their number of points."""
+    return _moments(pairs, key).where("not solvable").select(key, "n")
 
 
 def solve_registration(pairs: DataFrame, key: str = "grp") -> tuple[DataFrame, DataFrame]:
     """Rigid transform per group of control points (mx, my, mz to tx, ty, tz), and residuals per point.
 
     Centroids and covariances are plain aggregates; only the small eigenproblem, one row per group,
-    is solved in Arrow batches. Groups with fewer than three points or on one line are left out.
+    is solved in Arrow batches. Groups with fewer than three points or on one line are left out of both;
+    ``unsolvable`` names them.
     """
-    m = pairs.groupBy(key).agg(
-        F.count("*").alias("n"), *[F.avg(f"{p}{a}").alias(f"c{p}{a}") for p in "mt" for a in "xyz"],
-        *[(F.covar_pop(f"m{a}", f"t{b}")).alias(f"s{a}{b}") for a in "xyz" for b in "xyz"],
-        *[F.covar_pop(f"m{a}", f"m{b}").alias(f"v{a}{b}") for a in "xyz" for b in "xyz" if a <= b])
-    minors = ((F.col("vxx") * F.col("vyy") - F.col("vxy") * F.col("vxy")) + (F.col("vxx") * F.col("vzz") - F.col("vxz") * F.col("vxz"))
-              + (F.col("vyy") * F.col("vzz") - F.col("vyz") * F.col("vyz")))
-    usable = m.where((F.col("n") >= 3) & (minors > 1e-9))
-    schema = usable.schema.simpleString()[7:-1]
-    solved = usable.mapInPandas(lambda it: (_rotation(p) for p in it), schema.replace(":", " ").replace(",", ", ") + ", qw double, qx double, qy double, qz double")
+    solvable = _moments(pairs, key).where("solvable").drop("solvable")
+
+    def rotations(batches):
+        """Optimal rotation of each row of centred moments: 4x4 eigenproblems solved in one call."""
+        import numpy as np
+
+        for pdf in batches:
+            s = pdf[[f"s{a}{b}" for a in "xyz" for b in "xyz"]].to_numpy().reshape(-1, 3, 3)
+            sxx, sxy, sxz, syx, syy, syz, szx, szy, szz = (s[:, i, j] for i in range(3) for j in range(3))
+            n = np.stack([
+                np.stack([sxx + syy + szz, syz - szy, szx - sxz, sxy - syx], -1), np.stack([syz - szy, sxx - syy - szz, sxy + syx, szx + sxz], -1),
+                np.stack([szx - sxz, sxy + syx, -sxx + syy - szz, syz + szy], -1), np.stack([sxy - syx, szx + sxz, syz + szy, -sxx - syy + szz], -1)], 1)
+            q = np.linalg.eigh(n)[1][:, :, -1]
+            q = q * np.where(q[:, :1] < 0, -1.0, 1.0)
+            yield pdf.assign(qw=q[:, 0], qx=q[:, 1], qy=q[:, 2], qz=q[:, 3])
+
+    schema = solvable.schema.simpleString()[7:-1]
+    solved = solvable.mapInPandas(rotations, schema.replace(":", " ").replace(",", ", ") + ", qw double, qx double, qy double, qz double")
     w, x, y, z = (F.col(f"q{k}") for k in "wxyz")
     rot = [[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)],
            [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]]
@@ -207,11 +219,10 @@ def solve_registration(pairs: DataFrame, key: str = "grp") -> tuple[DataFrame, D
 
 
 def one_to_one(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """Keys of either side that meet more than one partner, with the number of partners and the first and last of them."""
+    """Keys of either side that meet more than one partner: one row for each of the partners, with their number."""
     def many(a: str, b: str) -> DataFrame:
-        return pairs.groupBy(F.col(a).cast("string").alias("key")).agg(
-            F.count_distinct(b).alias("partners"), F.min(F.col(b).cast("string")).alias("first"), F.max(F.col(b).cast("string")).alias("last")
-        ).where("partners > 1").withColumn("side", F.lit(a))
+        each = pairs.select(F.col(a).cast("string").alias("key"), F.col(b).cast("string").alias("partner")).where("partner is not null").distinct()
+        return each.join(each.groupBy("key").agg(F.count("*").alias("partners")).where("partners > 1"), "key").select("key", "partner", "partners", F.lit(a).alias("side"))
 
     return many(left, right).unionByName(many(right, left))
 

@@ -20,7 +20,9 @@ def lines_near_cells(segments: DataFrame, level: int, metres: float, key: str =
     """Distinct (line, cell) pairs with a segment closer to the cell than ``metres``, in the cell's local frame."""
     pad = metres / 111000.0 * 2 + 0.00011
     lng_bits, lat_bits = cells.grid_bits(level)
-    rows = segments.withColumn("gx", F.explode(cells.grid_span(F.least("x1", "x2") - pad, F.greatest("x1", "x2") + pad, -180.0, 360.0, lng_bits))).withColumn(
+    # a degree of longitude shrinks towards the poles
+    wide = pad / F.greatest(F.cos(F.radians(F.least(F.greatest(F.abs(F.col("y1")), F.abs(F.col("y2"))) + pad, F.lit(90.0)))), F.lit(1e-6))
+    rows = segments.withColumn("gx", F.explode(cells.grid_span(F.least("x1", "x2") - wide, F.greatest("x1", "x2") + wide, -180.0, 360.0, lng_bits))).withColumn(
         "gy", F.explode(cells.grid_span(F.least("y1", "y2") - pad, F.greatest("y1", "y2") + pad, -90.0, 180.0, lat_bits)))
     box = cells.index_bbox(F.col("gx"), F.col("gy"), level)
     shrink = F.cos(F.radians(box["south"]))

@@ -20,7 +20,6 @@ MERGE_GROWTH, LEAF_GROWTH, ERROR_SCALE = 1.05, 1.2, 2.0
 CATALOGUE_PAD_DEG, CATALOGUE_PAD_M, CHILD_ERROR_CAP, ROOT_ERROR_SCALE = 0.0001, 2500.0, 200.0, 10.0
 # Heights that every leaf region covers.
 SEED_HEIGHTS = (0.0, 100.0)
-MAX_NODES_PER_DOCUMENT = 20_000
 
 
 @dataclass(frozen=True)
@@ -209,13 +208,16 @@ def lod_chain(leaves: DataFrame, resolved: DataFrame, levels: Sequence[LodLevel]
         F.concat(tile_model_path(F.col("geohash"), F.col("lod_no")), F.lit(f"?t={stamp}")).alias("uri"), (F.col("pos") == 0).alias("has_transform"))
 
 
-def manifests(nodes: DataFrame, split_level: int, stamp: str, limit: int = MAX_NODES_PER_DOCUMENT) -> DataFrame:
+def manifests(nodes: DataFrame, split_level: int, stamp: str) -> DataFrame:
     """Manifest documents (path, nodes, content): nested JSON built from the leaves upwards.
 
     Input: geohash, parent, error, uri (leaves) and box as array. A node becomes a document of its
-    own at ``split_level``, or wherever the subtree has outgrown ``limit`` nodes, so no document and
-    no task ever holds an unbounded subtree; a parent gathers at most its 32 children.
+    own at ``split_level``; a deeper level gives smaller documents, whatever the size of the data.
+    Content links are relative to the document that holds them, and a parent gathers at most its 32
+    children.
     """
+    holder = F.when((F.length("geohash") >= split_level) & (F.col("geohash") != "root"), subtree_path(F.substring("geohash", 1, split_level))).otherwise(F.lit(""))
+    nodes = nodes.withColumn("uri", F.concat(F.repeat(F.lit("../"), F.length(holder) - F.length(F.replace(holder, F.lit("/"), F.lit("")))), F.col("uri")))
     box = F.col("box")
     own = lambda children: F.to_json(F.struct(
         F.struct(box.alias("box")).alias("boundingVolume"), F.col("error").alias("geometricError"),
@@ -243,7 +245,7 @@ def manifests(nodes: DataFrame, split_level: int, stamp: str, limit: int = MAX_N
             F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.lit(',"children":['), children, F.lit("]}")))
         count = F.coalesce("below", F.lit(0)) + 1
         here = here.withColumns({"text": full, "n": count})
-        apart = (F.length("geohash") == split_level) | (F.col("n") > limit) if depth > 1 else F.lit(True)
+        apart = (F.length("geohash") == split_level) if depth > 1 else F.lit(True)
         path = F.when(F.col("geohash") == "root", F.lit("tileset.json")).otherwise(subtree_path(F.col("geohash")))
         marked = here.withColumns({"apart": apart, "path": path})
         documents.append(marked.where("apart").select(
@@ -279,28 +281,44 @@ def merge_catalogue(children: DataFrame) -> DataFrame:
         (F.col("lo") - lift).alias("lo"), (F.col("hi") + lift).alias("hi"))
 
 
-def merge_spheres(spheres: DataFrame, key: str, order: str, fan: int = 64) -> DataFrame:
-    """Union sphere per group as an ordered fold; the fold depends on order, so it runs in order.
+def merge_spheres(spheres: DataFrame, key: str, order: str) -> DataFrame:
+    """Union sphere per group as a fold from the first sphere to the last.
 
-    Runs of ``fan`` spheres are folded first, then the runs, so no task gathers a whole group.
+    The fold depends on the order, so a group is read as a sorted stream; a task keeps one sphere, never a group.
     """
-    def fold(arr: Column) -> Column:
-        def step(a: Column, b: Column) -> Column:
-            d = [b[k] - a[k] for k in "xyz"]
-            dist = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-            grown = (dist + a["r"] + b["r"]) / 2
-            t = (grown - a["r"]) / F.when(dist == 0, F.lit(1.0)).otherwise(dist)
-            made = F.struct(*[(a[k] + d[i] * t).alias(k) for i, k in enumerate("xyz")], grown.alias("r"))
-            return F.when(a["r"] >= dist + b["r"], a).when(b["r"] >= dist + a["r"], b).otherwise(made)
-
-        return F.aggregate(F.slice(arr, F.lit(2), F.greatest(F.size(arr) - 1, F.lit(0))), F.get(arr, F.lit(0)), step)
-
-    rows = spheres.select(key, F.col(order).alias("o"), F.struct(*[F.col(k).cast("double").alias(k) for k in "xyzr"]).alias("v"))
-    biggest = F.lit(fan)
-    for _ in range(6):
-        rows = rows.groupBy(key, F.floor(F.col("o") / biggest).alias("o")).agg(F.sort_array(F.collect_list(F.struct("o", "v"))).alias("a")).select(
-            key, F.col("o"), fold(F.transform("a", lambda x: x["v"])).alias("v"))
-    return rows.select(key, "v.*")
+    name, columns = spheres.schema[key].dataType.simpleString(), [key, *"xyzr"]
+
+    def fold(batches):
+        import math
+
+        import pyarrow as pa
+
+        group, ball, out = None, None, []
+        for batch in batches:
+            for k, x, y, z, r in zip(*(batch.column(c).to_pylist() for c in columns)):
+                if ball is None or k != group:
+                    if ball is not None:
+                        out.append((group, *ball))
+                    group, ball = k, (x, y, z, r)
+                    continue
+                move = (x - ball[0], y - ball[1], z - ball[2])
+                gap = math.sqrt(move[0] * move[0] + move[1] * move[1] + move[2] * move[2])
+                if ball[3] >= gap + r:
+                    continue
+                if r >= gap + ball[3]:
+                    ball = (x, y, z, r)
+                    continue
+                grown = (gap + ball[3] + r) / 2
+                share = (grown - ball[3]) / gap
+                ball = (*(b + m * share for b, m in zip(ball, move)), grown)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, batch.schema.field(key).type if i == 0 else pa.float64()) for i, c in enumerate(zip(*out))], columns)
+                out = []
+        if ball is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], batch.schema.field(key).type if i == 0 else pa.float64()) for i, v in enumerate((group, *ball))], columns)
+
+    rows = spheres.select(key, F.col(order).alias("_o"), *[F.col(k).cast("double").alias(k) for k in "xyzr"])
+    return rows.repartition(key).sortWithinPartitions(key, "_o").select(*columns).mapInArrow(fold, f"`{key}` {name}, x double, y double, z double, r double")
 
 
 def changed_nodes(tree: DataFrame, changes: DataFrame, columns: Sequence[str], key: str = "geohash") -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,25 +83,42 @@ def detail(df: DataFrame, fields: Sequence[FieldSpec], key: str, primary_key: st
     return project(ready(df, shown).where(key_filter([F.col(primary_key)], key)).limit(1), shown)
 
 
+def last_changes(changes: DataFrame, names: Sequence[str], order: str | None, submitted: str | None) -> DataFrame:
+    """One row per record_key: for every field whether it was submitted (``_set_``) and the value submitted last (``_new_``).
+
+    A field counts as submitted where it isn't null, or where the array ``submitted`` names it, which is
+    how a null is submitted. Later means a larger ``order``; equal orders go to the larger value.
+    """
+    said = {n: F.col(n).isNotNull() | (F.coalesce(F.array_contains(submitted, n), F.lit(False)) if submitted else F.lit(False)) for n in names}
+    place = F.col(order) if order else F.lit(0)
+    picks = [F.max(F.when(said[n], F.struct(place.alias("o"), F.col(n).alias("v")))).alias(n) for n in names]
+    return changes.groupBy("record_key").agg(*picks).select(
+        "record_key", *[F.col(n).isNotNull().alias(f"_set_{n}") for n in names], *[F.col(f"{n}.v").alias(f"_new_{n}") for n in names])
+
+
 def update(
     df: DataFrame, fields: Sequence[FieldSpec], changes: DataFrame, tileset: str, source: str, table: str, primary_key: str = "id",
+    order: str | None = None, submitted: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Apply change rows (record_key, one text column per submitted field): snapshot, audit, unknown keys.
 
-    One change per key is applied; columns the caller may not submit are refused.
+    Several changes of one key are reduced to the last value of each field, by the column ``order`` of
+    the changes. Null means "not submitted" unless the array column ``submitted`` names the field. A key
+    whose changes submit nothing stays as it is and is not audited. Columns the caller may not submit
+    are refused.
     """
     allowed = {f.name: f for f in fields if f.submit and f.name != primary_key}
-    names = sorted(c for c in changes.columns if c != "record_key")
+    names = sorted(c for c in changes.columns if c not in ("record_key", order, submitted))
     wrong = [n for n in names if n not in allowed]
     if wrong:
         raise ValueError(f"fields {wrong} are not allowed to submit")
     if not names:
         raise ValueError("no fields to update")
     df = ready(df, fields)
-    side = changes.select(F.col("record_key"), *[F.col(n).alias(f"_new_{n}") for n in names])
+    side = last_changes(changes, names, order, submitted)
     key = F.coalesce(F.col(primary_key).cast("string"), F.lit(""))
-    joined = df.withColumn("record_key", key).join(side, "record_key", "left").withColumn(
-        "_hit", F.coalesce(*[F.col(f"_new_{n}").isNotNull() for n in names], F.lit(False)))
+    some = reduce(lambda a, b: a | b, [F.col(f"_set_{n}") for n in names])
+    joined = df.withColumn("record_key", key).join(side, "record_key", "left").withColumn("_hit", F.coalesce(some, F.lit(False)))
     before = {n: allowed[n].value() for n in names}
     after: dict[str, Column] = {}
     for n in names:
@@ -108,7 +126,7 @@ def update(
         column = f.column or f.name
         base = after.get(column, F.col(column))
         value = json_set(base, f.path, new) if f.storage == "json" else new.cast(df.schema[column].dataType)
-        after[column] = F.when(F.col("_hit") & new.isNotNull(), value).otherwise(base)
+        after[column] = F.when(F.col("_hit") & F.col(f"_set_{n}"), value).otherwise(base)
     marked = joined.withColumn("_old", json_image(**before))
     snapshot_rows = marked.withColumns(after)
     audit = snapshot_rows.where("_hit").select(
@@ -118,8 +136,13 @@ def update(
     return snapshot_rows.select(*df.columns), audit, missing
 
 
-def save_registration(df: DataFrame, transforms: DataFrame, column: str = "metadata", primary_key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """Store 16-value transforms under ``transform`` of each JSON document; other keys stay, non-objects start empty."""
+def save_registration(df: DataFrame, transforms: DataFrame, column: str = "metadata", primary_key: str = "id", order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Store 16-value transforms under ``transform`` of each JSON document; other keys stay, non-objects start empty.
+
+    Of several transforms of one key the last by the column ``order`` counts, the largest without one.
+    """
+    place = F.col(order) if order else F.lit(0)
+    transforms = transforms.groupBy("record_key").agg(F.max(F.struct(place.alias("o"), "matrix")).alias("m")).select("record_key", "m.matrix")
     keyed = F.concat(F.lit("{"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.concat(
         F.lit('"'), k.cast("string"), F.lit('":'), F.element_at("matrix", k + 1).cast("string"))), ","), F.lit("}"))
     side = transforms.select(F.col("record_key"), keyed.alias("_keyed"))

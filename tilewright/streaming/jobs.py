@@ -32,8 +32,11 @@ def edit_feed(edits: DataFrame, delay: str = "10 minutes") -> DataFrame:
         "id", "update_time", F.when(F.col("del_flag") == "1", "deleted").otherwise("changed").alias("feed"))
 
 
-def dirty_windows(edits: DataFrame, cell: Column, width: str, delay: str = "0 seconds") -> DataFrame:
-    """Edits per cell and tumbling window, emitted when the window has closed."""
+def dirty_windows(edits: DataFrame, cell: Column, width: str, delay: str = "10 minutes") -> DataFrame:
+    """Edits per cell and tumbling window; edits up to ``delay`` late still count.
+
+    In append mode a window comes when it has closed, in update mode each time an edit touches it.
+    """
     return edits.withWatermark("update_time", delay).groupBy(F.window("update_time", width), cell.alias("cell")).agg(F.count("*").alias("edits")).select(
         F.col("window.start").alias("start"), "cell", "edits")
 
@@ -68,15 +71,18 @@ def newest_version(spark: SparkSession, path: str) -> DataFrame:
     return table.join(top, "version", "left_semi").drop("version")
 
 
-def incremental_rebuild(edits: DataFrame, rebuild: Callable[[DataFrame], DataFrame], path: str, keys: list[str]) -> DataFrame:
-    """Rebuild what each micro-batch touched and replace those rows of the stored snapshot."""
+def incremental_rebuild(edits: DataFrame, rebuild: Callable[[DataFrame], tuple[DataFrame, DataFrame]], path: str, keys: list[str]) -> DataFrame:
+    """Rebuild what each micro-batch touched and replace those rows of the stored snapshot.
+
+    ``rebuild`` gives the fresh rows and the touched keys; a touched key without fresh rows is emptied.
+    """
     spark = edits.sparkSession
 
     def each(batch: DataFrame, number: int) -> None:
-        fresh = rebuild(batch)
+        fresh, touched = rebuild(batch)
         if number > 0:
             old = spark.read.parquet(f"{path}/version={number - 1}")
-            fresh = old.join(fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh)
+            fresh = old.join(touched.select(*keys).distinct(), keys, "left_anti").unionByName(fresh)
         fresh.write.mode("overwrite").parquet(f"{path}/version={number}")
 
     query = edits.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(each).start()

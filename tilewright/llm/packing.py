@@ -15,8 +15,10 @@ A null or empty text is the end id alone. Rows that repeat a doc_id are packed a
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,32 +33,63 @@ SHARD = 8192
 CACHED_WORDS = 400_000
 
 
+class Known(dict):
+    """Ids by word, found on first use."""
+
+    def __init__(self, find: Callable[[bytes], bytes]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        ids = self[word] = self.find(word)
+        return ids
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space, so that a text's ids are those of its words in turn.
 
-    Words are cut at ASCII white space and encoded once per task; the cache starts anew when it is full.
+    Words are cut at ASCII white space and encoded once per task, by the tokenizer's own normalizer,
+    splitter and merges; the parts of a word that merges can't join are kept too, for words share them.
+    Words with a special string go through the whole tokenizer. The caches start anew when they are full.
     """
 
+    #: How the splitter cuts words of plain ASCII; checked against the tokenizer before use.
+    PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    PLAIN = re.compile("[!-~]+")
+    PROBES = ("It's", "a1b22", "..'s", "X'LL-y", "we've,they'RE", "<b>\"q\"", "".join(map(chr, range(33, 127))), "".join(chr(c) + "a" for c in range(33, 127)))
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        if self.tokenizer.encode(" a\tb\n", add_special_tokens=False).ids != self.tokenizer.encode("a", add_special_tokens=False).ids + self.tokenizer.encode("b", add_special_tokens=False).ids:
+        self.whole = Tokenizer.from_file(path)
+        self.model, self.normalizer, self.splitter = self.whole.model, self.whole.normalizer, self.whole.pre_tokenizer
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        full = lambda t: self.whole.encode(t, add_special_tokens=False).ids
+        if full(" a\tb\n") != full("a") + full("b"):
             raise ValueError("this tokenizer keeps white space; its texts can't be encoded word by word")
+        self.parts, self.words = Known(self._part), Known(self._word)
+        self.shortcut = True
+        self.shortcut = all(self._word(p.encode()) == np.array(full(p), "<u4").tobytes() for p in self.PROBES)
+
+    def _part(self, part: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if any(s in text for s in self.special):
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        if self.shortcut and self.PLAIN.fullmatch(text):
+            parts = self.PARTS.findall(text.lower())
+        else:
+            parts = [p for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
+        return b"".join([self.parts[p] for p in parts])
 
     def ids(self, text: bytes) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers."""
-        words = text.split()
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-                new = list(set(words))
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
-        return b"".join([known[w] for w in words])
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 def _cutter(path: str, end_id: int, capacity: int, with_ids: bool):

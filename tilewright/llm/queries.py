@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import language_model, near_copies, nearest_vectors, packing, phrases, quality, repeats, secrets, token_counts
+from tilewright.llm.oracles import ORACLES
 from tilewright.llm.shared import table
 from tilewright.session import scratch_path
 
@@ -90,4 +91,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_near_copies": op10_near_copies,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]

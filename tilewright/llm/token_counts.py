@@ -51,16 +51,14 @@ class Transducer:
         self.emits: dict[bytes, int] = {}
 
     def _compile(self, segments: set[bytes]) -> None:
-        new = [s for s in segments if s not in self.emits]
-        if not new:
-            return
+        """Edges for ``segments``; one without a mark or line feed in front stands for itself behind a mark."""
         if len(self.emits) > EDGES:
             self.emits.clear()
-            new = list(segments)
+        new = [s for s in segments if s not in self.emits]
         # the model puts one mark before every text: it stands for a segment's first, and is taken off behind a line feed
         bare = [(s[1:] if s[:1] == b" " else s).decode("utf-8", "replace") for s in new]
-        for segment, ids in zip(new, self.model.encode(bare, num_threads=1)):
-            self.emits[segment] = (len(ids) or 1) if segment[:1] == b" " else len(ids) - 1
+        for segment, ids in zip(new, self.model.encode(bare, num_threads=1) if new else ()):
+            self.emits[segment] = len(ids) - 1 if segment[:1] == b"\n" else len(ids) or 1
 
     def count(self, segments: list[bytes]) -> int:
         self._compile(set(segments))
@@ -74,17 +72,8 @@ class Transducer:
         plain = marked.replace(b"\n", b" \n")
         if b"  " in plain or plain[-1:] == b" ":
             return self.count(SEGMENT.findall(marked))
-        # no run of marks: every cut is a boundary, and a segment needs its mark back unless a line feed leads it
-        parts = plain.split(b" ")[1:]
-        new = [p for p in set(parts) if p not in self.emits]
-        if new:
-            self._compile({p if p[:1] == b"\n" else b" " + p for p in new})
-            for p in new:
-                if p[:1] != b"\n":
-                    self.emits[p] = self.emits[b" " + p]
-            if len(self.emits) < len(new):
-                return self.count([p if p[:1] == b"\n" else b" " + p for p in parts])
-        return sum(map(self.emits.__getitem__, parts))
+        # no run of marks: every cut is a boundary, and the mark before each part goes without saying
+        return self.count(plain.split(b" ")[1:])
 
     def chunk(self, text: bytes, first: bool) -> StateMap:
         """The map of one chunk; the first one of a text has the mark that the model puts before it."""

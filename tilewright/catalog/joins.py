@@ -297,7 +297,14 @@ def p13(spark, sf):
                         cells.point_hash(F.lit(117.1) + c("x") * 0.0001, F.lit(31.1) + c("y") * 0.0001, 6).alias("owner"))
 
 
-@query("P14_instance_spacing")
+@query("P14_instance_spacing", f"""
+    WITH {SEG}, t AS (SELECT DISTINCT line_id, total FROM seg),
+    post AS (SELECT line_id, CAST(unnest(generate_series(0, CAST(floor(total / 4) AS BIGINT))) AS DOUBLE) * 4 AS s FROM t
+             UNION ALL SELECT line_id, total FROM t WHERE total - floor(total / 4) * 4 > 0.01),
+    p AS (SELECT *, (s - s0) / length AS q, (x2 - x1) / length AS fx, (y2 - y1) / length AS fy, CASE WHEN line_id % 2 = 1 THEN 0.23 ELSE -0.23 END::DOUBLE AS side
+          FROM post JOIN seg USING (line_id) WHERE (s > s0 OR i = 0) AND s <= s1)
+    SELECT line_id, {r('s', 3)} AS station, {r('x1 + (x2 - x1) * q + fy * side', 3)} AS x, {r('y1 + (y2 - y1) * q - fx * side', 3)} AS y, {r('z1 + (z2 - z1) * q', 3)} AS z,
+       {r('degrees(atan2(fy, fx))', 4)} AS heading FROM p""")
 def p14(spark, sf):
     s = ln.samples_at(seg(spark, sf), ln.post_stations(4.0))
     sign = F.when(c("line_id") % 2 == 1, 1.0).otherwise(-1.0)

@@ -191,7 +191,13 @@ def a10(spark, sf):
     return tl.union_regions(df, ["brand"])
 
 
-@query("A10_union_spheres")
+@query("A10_union_spheres", f"""
+    WITH RECURSIVE s AS (SELECT brand, row_number() OVER (PARTITION BY brand ORDER BY id) AS n, px0 AS x, py0 AS y, CAST(base_z AS DOUBLE) AS z, size / CAST(10 AS DOUBLE) AS r FROM ({PG})),
+    f AS (SELECT * FROM s WHERE n = 1 UNION ALL
+      SELECT brand, n, CASE WHEN r >= d + q THEN x WHEN q >= d + r THEN u ELSE x + (u - x) * ((d + r + q) / 2 - r) / d END, CASE WHEN r >= d + q THEN y WHEN q >= d + r THEN v ELSE y + (v - y) * ((d + r + q) / 2 - r) / d END,
+        CASE WHEN r >= d + q THEN z WHEN q >= d + r THEN w ELSE z + (w - z) * ((d + r + q) / 2 - r) / d END, CASE WHEN r >= d + q THEN r WHEN q >= d + r THEN q ELSE (d + r + q) / 2 END
+      FROM (SELECT s.brand, s.n, f.x, f.y, f.z, f.r, s.x AS u, s.y AS v, s.z AS w, s.r AS q, sqrt(power(s.x - f.x, 2) + power(s.y - f.y, 2) + power(s.z - f.z, 2)) AS d FROM f JOIN s ON s.brand = f.brand AND s.n = f.n + 1))
+    SELECT f.brand, {r('x', 6)} AS x, {r('y', 6)} AS y, {r('z', 6)} AS z, {r('r', 6)} AS r FROM f JOIN (SELECT brand, max(n) AS n FROM s GROUP BY 1) USING (brand, n)""")
 def a10s(spark, sf):
     df = POLYGONS.frame(spark, sf).select("brand", "id", c("px0").alias("x"), c("py0").alias("y"), c("base_z").alias("z"), (c("size") / 10).alias("r"))
     return tl.merge_spheres(df, "brand", "id").select("brand", *[F.round(k, 6).alias(k) for k in "xyzr"])

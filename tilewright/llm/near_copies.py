@@ -155,11 +155,10 @@ def _setter(text: str, rule: Rule, wanted):
                         done.add(s)
                         mine.append(i)
                 if mine:
-                    rows = np.array(mine)
-                    at, _ = _heads(np.concatenate([bounds]), len(values))
-                    take = np.isin(np.repeat(np.arange(block.size), np.diff(bounds)), rows)
+                    rows, sizes = np.array(mine), np.diff(bounds)
+                    take = np.isin(np.repeat(np.arange(block.size), sizes), rows)
                     yield pa.record_batch({"sig": int64(sig[rows]), "shingles": split_binary(
-                        values[at[take]], np.concatenate([np.zeros(1, np.int64), np.cumsum(np.diff(bounds)[rows])]))})
+                        values[take], np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes[rows])]))})
 
     return sets
 

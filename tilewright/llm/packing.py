@@ -30,7 +30,7 @@ from tilewright.llm.text import texts_of
 
 CAPACITY = 4096
 SHARD = 8192
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 
 
 class Known(dict):
@@ -50,14 +50,13 @@ class Known(dict):
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space, so that a text's ids are those of its words in turn.
 
-    Words are cut at ASCII white space and encoded once per task, by the tokenizer's own normalizer,
+    Words are cut at ASCII white space and encoded once per worker, by the tokenizer's own normalizer,
     splitter and merges; the parts of a word that merges can't join are kept too, for words share them.
     Words with a special string go through the whole tokenizer. The caches start anew when they are full.
     """
 
     #: How the splitter cuts words of plain ASCII; checked against the tokenizer before use.
     PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-    PLAIN = re.compile("[!-~]+")
     PROBES = ("It's", "a1b22", "..'s", "X'LL-y", "we've,they'RE", "<b>\"q\"", "".join(map(chr, range(33, 127))), "".join(chr(c) + "a" for c in range(33, 127)))
 
     def __init__(self, path: str):
@@ -66,7 +65,7 @@ class WordEncoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model, self.normalizer, self.splitter = self.whole.model, self.whole.normalizer, self.whole.pre_tokenizer
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or "(?!)")
         full = lambda t: self.whole.encode(t, add_special_tokens=False).ids
         if full(" a\tb\n") != full("a") + full("b"):
             raise ValueError("this tokenizer keeps white space; its texts can't be encoded word by word")
@@ -79,9 +78,11 @@ class WordEncoder:
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        if any(s in text for s in self.special):
+        if self.special.search(text):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        if self.shortcut and self.PLAIN.fullmatch(text):
+        if self.shortcut and text.isascii() and text.isprintable():
+            if text.isalpha():
+                return self.parts[text.lower()]
             parts = self.PARTS.findall(text.lower())
         else:
             parts = [p for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
@@ -92,9 +93,19 @@ class WordEncoder:
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder of this worker process: tasks that follow each other share its caches."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_encoders_by_path", {})
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
+
+
 def _cutter(path: str, end_id: int, capacity: int, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             data, offsets = texts_of(batch.column("text"))
             raw, rows = data.tobytes(), []

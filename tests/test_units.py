@@ -291,3 +291,25 @@ def test_queries_load_without_a_session():
 
     code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 100"
     assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__)))).returncode == 0
+
+
+def test_archives_with_binary_properties_and_unknown_tiles(spark, tmp_path):
+    import json
+    import struct
+
+    from tilewright.sources import assets
+
+    def tile(kind, head, features, table, binary=b""):
+        f, t = (json.dumps(x).encode() for x in (features, table))
+        body = struct.pack("<4I", len(f), 0, len(t), len(binary)) + (struct.pack("<I", 1) if kind == b"i3dm" else b"") + f + t + binary
+        return kind + struct.pack("<2I", 1, len(body) + 12) + body
+
+    one = tile(b"b3dm", 28, {"BATCH_LENGTH": 3}, {"id": {"byteOffset": 4, "componentType": "UNSIGNED_INT", "type": "SCALAR"}}, struct.pack("<4I", 9, 70000, 2, 3))
+    two = tile(b"i3dm", 32, {"INSTANCES_LENGTH": 1}, {"id": [5.0]})
+    other = b"pnts" + struct.pack("<2I", 1, 16) + b"...."
+    inner = one + other + two
+    for name, data in {"a.b3dm": one, "b.cmpt": b"cmpt" + struct.pack("<3I", 1, 16 + len(inner), 3) + inner, "c.b3dm": one[:40], "d.b3dm": b"oops"}.items():
+        (tmp_path / name).write_bytes(data)
+    got = sorted((r.path[-6:], r.feature_index if r.feature_index is not None else -1, r.feature_id, r.problem is not None) for r in assets.archive_index(spark, str(tmp_path)).collect())
+    assert got == [("a.b3dm", 0, "70000", False), ("a.b3dm", 1, "2", False), ("a.b3dm", 2, "3", False), ("b.cmpt", 0, "70000", False), ("b.cmpt", 1, "2", False),
+                   ("b.cmpt", 2, "3", False), ("b.cmpt", 3, "5", False), ("c.b3dm", -1, None, True), ("d.b3dm", -1, None, True)]

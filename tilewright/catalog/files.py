@@ -233,7 +233,8 @@ def archives(spark, sf):
             out = []
             for k in b["k"]:
                 one = b3dm([float(k * 3), str(k * 3 + 1)])
-                data = one if k % 4 else b"cmpt" + struct.pack("<3I", 1, 16 + len(one) * 2, 2) + one + b3dm([int(k * 3 + 2), " x"])
+                two = b3dm([int(k * 3 + 2), " x"])
+                data = one if k % 4 else b"cmpt" + struct.pack("<3I", 1, 16 + len(one) + len(two), 2) + one + two
                 out.append((f"contents/{k % 3}/{k % 2}/{k}.{'b3dm' if k % 4 else 'cmpt'}", data if k % 10 != 7 else b"oops" + data))
             yield pd.DataFrame(out, columns=["path", "content"])
 

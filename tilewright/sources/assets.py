@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import json
-import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,38 +40,73 @@ def compression_manifest(results: DataFrame) -> DataFrame:
     return per.join(clash, F.lit(True))
 
 
-def _batch_ids(data: bytes, field: str) -> list[str]:
-    """Values of one property of every batch table in an archive; composites are opened in turn."""
-    kind = data[:4]
-    if kind == b"cmpt":
-        count, at, out = struct.unpack_from("<I", data, 12)[0], 16, []
-        for _ in range(count):
-            size = struct.unpack_from("<I", data, at + 8)[0]
-            out += _batch_ids(data[at:at + size], field)
-            at += size
-        return out
-    if kind not in (b"b3dm", b"i3dm"):
-        raise ValueError(f"not a tile archive: {kind!r}")
-    ft_json, ft_bin, bt_json, _ = struct.unpack_from("<4I", data, 12)
-    start = (28 if kind == b"b3dm" else 32) + ft_json + ft_bin
-    table = json.loads(data[start:start + bt_json] or b"{}")
-    values = table.get(field, [])
-    if not isinstance(values, list):
-        raise ValueError(f"property {field} is binary")
-    return [str(int(v)) if isinstance(v, float) and v.is_integer() else str(v).strip() for v in values]
-
-
 def archive_index(spark: SparkSession, root: str, field: str = "id") -> DataFrame:
-    """(path, feature_index, feature_id, problem) over all archives below a folder; unreadable files give one problem row."""
+    """(path, feature_index, feature_id, problem) over all archives below a folder; unreadable files give one problem row.
+
+    A composite is walked through; inner tiles of other kinds are passed over. Properties may be JSON
+    lists or scalar numbers in the batch table's binary part. The reader travels with the job, so
+    workers don't need this package.
+    """
     glob = "*.{" + ",".join(ARCHIVE_SUFFIXES) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "content")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches):
+        import json
+        import struct
+
+        import numpy as np
+        import pandas as pd
+
+        # Bytes before the tables by kind of tile, and the number kinds of binary properties.
+        headers = {b"b3dm": 28, b"i3dm": 32}
+        numbers = {"BYTE": "<i1", "UNSIGNED_BYTE": "<u1", "SHORT": "<i2", "UNSIGNED_SHORT": "<u2", "INT": "<i4", "UNSIGNED_INT": "<u4", "FLOAT": "<f4", "DOUBLE": "<f8"}
+
+        def checked(data, at, least):
+            version, size = struct.unpack_from("<2I", data, at + 4)
+            if version != 1 or size < least or at + size > len(data):
+                raise ValueError("bad version or length in a header")
+            return at + size
+
+        def column(data, at):
+            end, head = checked(data, at, headers[data[at:at + 4]]), at + headers[data[at:at + 4]]
+            ends = [head]
+            for size in struct.unpack_from("<4I", data, at + 12):
+                ends.append(ends[-1] + size)
+            if ends[-1] > end:
+                raise ValueError("tables longer than their tile")
+            features, table = (json.loads(data[ends[k]:ends[k + 1]].rstrip(b" \t\r\n\0") or b"{}") for k in (0, 2))
+            values = table.get(field, [])
+            if isinstance(values, dict) and "byteOffset" in values:
+                kind = numbers.get(values.get("componentType", "UNSIGNED_SHORT"))
+                if kind is None or values.get("type", "SCALAR") != "SCALAR":
+                    raise ValueError(f"property {field} is no scalar")
+                count = features.get("BATCH_LENGTH", features.get("INSTANCES_LENGTH", 0))
+                return np.frombuffer(data[ends[3]:ends[4]], kind, count, int(values["byteOffset"])).tolist()
+            return values if isinstance(values, list) else []
+
+        def ids(data):
+            found, waiting = [], [0]
+            if data[:4] != b"cmpt" and data[:4] not in headers:
+                raise ValueError(f"not a tile archive: {data[:4]!r}")
+            while waiting:
+                at = waiting.pop()
+                kind = data[at:at + 4]
+                if kind == b"cmpt":
+                    end, inner = checked(data, at, 16), [at + 16]
+                    for _ in range(struct.unpack_from("<I", data, at + 12)[0]):
+                        if inner[-1] + 12 > end:
+                            raise ValueError("a composite ends inside a tile")
+                        inner.append(inner[-1] + struct.unpack_from("<I", data, inner[-1] + 8)[0])
+                    waiting += reversed(inner[:-1])
+                elif kind in headers:
+                    found += column(data, at)
+            return [str(int(v)) if isinstance(v, float) and v.is_integer() else str(v).strip() for v in found]
+
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    rows += [(path, i, v, None) for i, v in enumerate(_batch_ids(bytes(content), field))]
+                    rows += [(path, i, v, None) for i, v in enumerate(ids(bytes(content)))]
                 except (ValueError, struct.error) as problem:
                     rows.append((path, None, None, str(problem)))
             yield pd.DataFrame(rows, columns=["path", "feature_index", "feature_id", "problem"]).astype({"feature_index": "Int64"})

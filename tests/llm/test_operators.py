@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tilewright.llm import language_model, near_copies, nearest_vectors, packing, phrases, quality, repeats, secrets, token_counts
+from tilewright.llm import language_model, near_copies, nearest_vectors, packing, phrases, quality, repeats, secrets, token_counts, token_output
 from tilewright.llm.queries import vocabulary
 from tilewright.session import scratch_path
 
@@ -207,6 +207,55 @@ def test_a_window_is_filled_as_well_as_can_be():
         assert sum(n * c for n, c in counts.items()) == max(sums)
 
 
+def test_best_fit_takes_the_least_room_that_is_enough():
+    rng = random.Random(4)
+    for _ in range(300):
+        lengths = np.array([rng.randrange(1, 33) for _ in range(rng.randrange(1, 60))])
+        window, offset = token_output.best_fit_decreasing(lengths, 32)
+        used: list = []
+        for i in np.argsort(-lengths, kind="stable").tolist():
+            rooms = [32 - u for u in used if 32 - u >= lengths[i]]
+            assert (window[i] == len(used)) == (not rooms)
+            if not rooms:
+                used.append(0)
+            else:
+                assert 32 - used[window[i]] == min(rooms)
+            assert offset[i] == used[window[i]]
+            used[window[i]] += int(lengths[i])
+        assert max(used) <= 32
+
+
+def test_token_matrix_gives_every_text_back(docs, rows, spark, sf_dir, monkeypatch):
+    from tokenizers import Tokenizer
+
+    from tilewright.llm.queries import QUERIES
+
+    monkeypatch.setattr(token_output, "SHARD_BYTES", 1 << 16)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    got = token_output.matrix(docs, path, end_id=2, pad_id=0).collect()
+    assert len({s.sequence_id for s in got}) == len(got)
+    by_row: dict = {}
+    for s in got:
+        ids, positions, ends = np.frombuffer(bytes(s.ids), "<u4"), np.frombuffer(bytes(s.position_ids), "<u4"), s.cu_seqlens
+        assert len(ids) == len(positions) == 4096 and len(ends) == len(s.segments) + 1 and ends[0] == 0 and ends == sorted(set(ends))
+        assert not ids[ends[-1]:].any() and not positions[ends[-1]:].any()
+        for low, high, part in zip(ends, ends[1:], s.segments):
+            assert positions[low:high].tolist() == list(range(high - low))
+            by_row.setdefault((part.row, part.doc_id), []).append((part.start, ids[low:high].tolist()))
+    texts = []
+    for (_, i), parts in by_row.items():
+        whole = []
+        for start, ids in sorted(parts):
+            assert start == len(whole)
+            whole += ids
+        texts.append((i, whole))
+    assert ordered(texts) == ordered((i, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows)
+    assert token_output.matrix(empty(spark), path, end_id=2).count() == 0
+    found = QUERIES["op4_token_matrix"](spark, sf_dir).select(F.explode("segments.row").alias("row")).distinct()
+    assert found.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
 def test_language_model_base_scores_and_distributions(docs, rows, monkeypatch):
     monkeypatch.setattr(language_model, "WORD_SHARE", 0.001)
     held = F.col("doc_id") % 3 == 0

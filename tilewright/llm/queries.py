@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import language_model, near_copies, nearest_vectors, packing, phrases, quality, repeats, secrets, token_counts
+from tilewright.llm import language_model, near_copies, nearest_vectors, packing, phrases, quality, repeats, secrets, token_counts, token_output
 from tilewright.llm.oracles import ORACLES
 from tilewright.llm.shared import table
 from tilewright.session import scratch_path
@@ -38,6 +38,11 @@ def op3_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of 4096 ids; id 2 ends a document, id 0 pads."""
+    return token_output.matrix(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2, pad_id=0)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new ledger over all documents; the documents are the paths."""
     docs = table(spark, sf_dir, "documents")
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeated_words": op1_repeated_words,
     "op2_token_counts": op2_token_counts,
     "op3_phrases": op3_phrases,
+    "op4_token_matrix": op4_token_matrix,
     "op5_secrets": op5_secrets,
     "op6_language_model": op6_language_model,
     "op7_nearest_vectors": op7_nearest_vectors,

@@ -281,6 +281,49 @@ def test_language_model_base_scores_and_distributions(docs, rows, monkeypatch):
         assert abs(total - 1) < 1e-6
 
 
+@pytest.mark.parametrize("share", [1e-7, 0.01])
+def test_language_model_keeps_every_repeated_ngram(docs, rows, monkeypatch, share):
+    """The scores are those of a plain backoff over all n-grams seen twice, whatever share of them is cached."""
+    from collections import Counter
+
+    monkeypatch.setattr(language_model, "WORD_SHARE", share)
+    monkeypatch.setattr(language_model, "ARC_SHARE", share)
+    texts = [(i, [*brute.words(t, lower=True), None]) for i, t in rows]
+    one, two, three = Counter(), Counter(), Counter()
+    for i, tokens in texts:
+        if i is None or i % 3:
+            padded = [None, *tokens]
+            one.update(tokens)
+            two.update(zip(padded, tokens))
+            three.update(zip(padded, tokens, tokens[1:]))
+    n, v = sum(one.values()), len(one)
+    root = lambda c: (one[c] + 1) / (n + v + 1)
+    high2 = {k: (x - 0.6) / one[k[0]] for k, x in two.items() if x >= 2}
+    high3 = {k: (x - 0.6) / two[k[:2]] for k, x in three.items() if x >= 2}
+    sums: dict = {}
+    for k, p in high2.items():
+        s = sums.setdefault(k[:1], [1.0, 1.0])
+        s[0], s[1] = s[0] - p, s[1] - root(k[1])
+    for k, p in high3.items():
+        s = sums.setdefault(k[:2], [1.0, 1.0])
+        s[0], s[1] = s[0] - p, s[1] - high2[k[1:]]
+    fail = {k: a / b for k, (a, b) in sums.items()}
+
+    def prob(history, c):
+        if len(history) == 2:
+            return high3[(*history, c)] if (*history, c) in high3 else fail.get(history, 1.0) * prob(history[1:], c)
+        return high2[(*history, c)] if (*history, c) in high2 else fail.get(history, 1.0) * root(c)
+
+    want = []
+    for i, tokens in texts:
+        padded = [None, *tokens]
+        want.append((i, len(tokens), round(sum(np.log10(prob(tuple(padded[max(0, at - 1): at + 1]), c)) for at, c in enumerate(tokens)), 3)))
+    got = language_model.scores(docs, F.col("doc_id") % 3 == 0).collect()
+    close = lambda x: [(str(a), b, c) for a, b, c in sorted(x, key=lambda r: (str(r[0]), r[1], r[2]))]
+    for g, w in zip(close((r.doc_id, r.n_tokens, r.score) for r in got), close(want), strict=True):
+        assert g[:2] == w[:2] and abs(g[2] - w[2]) < 0.01
+
+
 def test_quality_learns_the_held_out_labels(spark, sf_dir):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

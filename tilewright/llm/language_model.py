@@ -3,17 +3,18 @@
 The model is counted on the whole training corpus. States are word histories of up to two words that have
 successors of their own; an arc for a successor carries its discounted log-probability, and a failure arc to
 the shorter history carries the backoff weight that makes the state's distribution sum to one. The root
-knows every word with add-one smoothing. A text is traversed once from left to right: from the state behind
-the words so far, failure arcs are followed until the next word has an arc, weights add up, and the state
-moves on.
-
-Which n-grams get states depends on their share of the training tokens (``STATE_SHARE``, ``ARC_SHARE``), so
-there are at most 1 / share of each order at any corpus size: the automaton has a proven bound and is
-broadcast. An n-gram that frequent has frequent parts, so each order counts only extensions of the last,
-exactly and over all texts. Words below ``WORD_SHARE`` keep their exact counts too: their counts stay
-distributed, and texts meet them in a join on the word, summed by text.
-
-Null and empty texts are the end token alone. Rows that repeat a doc_id are scored as rows of their own.
+knows every word with add-one smoothing. From the state behind the words so far, failure arcs are followed
+until the next word has an arc, and weights add up.
+
+Every n-gram seen ``LEAST`` times or more has an arc, at any corpus size. States and arcs stay in written
+tables. Following failure arcs adds up: a text's score is the sum over its words of the root's weight and the
+word's failure weight, over its pairs and triples with an arc of what the arc gains over its failure path,
+and of the pair's own failure weight. So a text meets its n-grams in one join on their codes, summed by row. Words above
+``WORD_SHARE`` and n-grams above ``ARC_SHARE`` of the tokens (at most 1 / share of each order) are broadcast
+as a cache before that join and change no result; sieves of fixed size hold back most n-grams without an arc.
+
+Words and n-grams are told by 64-bit codes. Null and empty texts are the end token alone. Rows that repeat a
+doc_id are scored as rows of their own.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.shared import stored
-from tilewright.llm.text import Block, blocks, int64
+from tilewright.llm.shared import passes, sieve, stored
+from tilewright.llm.text import Block, blocks, int64, mix
 
 END = 0x5851F42D4C957F2D
-WORD_SHARE, STATE_SHARE, ARC_SHARE = 1e-6, 1e-5, 2e-6
+WORD_SHARE, ARC_SHARE = 1e-6, 2e-6
+LEAST = 2
+SIEVE = 1 << 27
 DISCOUNT = 0.6
 FLUSH = 1 << 22
 
@@ -51,9 +54,23 @@ def find(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == own, at, -1)[back]
 
 
+def pair_codes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code of each token with the one before, and the one before; the end token stands before a text."""
+    before = np.concatenate([np.full(1, END, np.uint64), codes[:-1]])
+    return mix(mix(before + np.uint64(0xA0761D6478BD642F)) + codes), before
+
+
+def triple_codes(codes: np.ndarray, pairs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all triples, and the places of their last tokens; a text's first token has none."""
+    inner = np.ones(len(codes), bool)
+    inner[first] = False
+    at = np.flatnonzero(inner)
+    return mix(mix(pairs[at - 1] + np.uint64(0xE7037ED1A0B428DB)) + codes[at]), at
+
+
 @dataclass
 class Automaton:
-    """Sorted keys with their weights (log10). A word's place in ``states`` names it in the keys of longer n-grams."""
+    """A model that fits in memory: sorted keys with their weights (log10). A word's place in ``states`` names it in ``pairs``."""
 
     tokens: int
     vocabulary: int
@@ -63,56 +80,36 @@ class Automaton:
     pairs: np.ndarray
     pair_weights: np.ndarray
     pair_failure: np.ndarray
-    triples: np.ndarray
-    triple_weights: np.ndarray
-    triple_failure: np.ndarray
-
-    def history(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For every token: its own state word, that of the token before, and the pair of the two before; -1 for none."""
-        own = find(self.states, codes)
-        before = np.concatenate([np.full(1, -1, np.int64), own[:-1]])
-        before[first] = find(self.states, np.array([END], np.uint64))[0]
-        pair = find(self.pairs, np.where((before >= 0) & (own >= 0), (before << 32) | own, -1))
-        return own, before, pair
-
-    def traverse(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 weights of all tokens, without the root's share of words that are not in ``words``; and the known words' places."""
-        own, before, pair = self.history(codes, first)
-        state2 = np.concatenate([np.full(1, -1, np.int64), pair[:-1]])
-        state2[first] = -1
-        total = np.zeros(len(codes))
-        arc = find(self.triples, np.where((state2 >= 0) & (own >= 0), (state2 << 32) | own, -1))
-        done = arc >= 0
-        total[done] = self.triple_weights[arc[done]]
-        fails = ~done & (state2 >= 0)
-        total[fails] += self.triple_failure[state2[fails]]
-        hit = ~done & (pair >= 0)
-        total[hit] += self.pair_weights[pair[hit]]
-        rest = ~(done | hit)
-        fails = rest & (before >= 0)
-        total[fails] += self.pair_failure[before[fails]]
-        known = find(self.words, codes)
-        at = rest & (known >= 0)
-        total[at] += np.log10(self.word_counts[known[at]] + 1.0)
-        total[rest] -= np.log10(self.tokens + self.vocabulary + 1.0)
-        return total, known
-
-
-def _counter(keys: Callable[[np.ndarray, np.ndarray], np.ndarray]):
-    """Counts of keys per task, in batches of bounded size."""
+
+
+@dataclass
+class Tables:
+    """The written model: (key, n, fail) of all words, (key, h, l, n, p, lp) of pairs, (key, n, gain) of pairs and triples."""
+
+    tokens: int
+    vocabulary: int
+    words: DataFrame
+    pairs: DataFrame
+    gains: DataFrame
+
+
+def _counter(keys: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]], names: tuple[str, ...]):
+    """Counts of keys per task, in batches of bounded size; what comes with a key follows from it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate(kept), return_counts=True)
-            return pa.record_batch({"key": int64(key), "n": pa.array(n.astype(np.int64))})
+            found = [np.concatenate(x) for x in zip(*kept)]
+            key, at, n = np.unique(found[0], return_index=True, return_counts=True)
+            return pa.record_batch({**{c: int64(x[at]) for c, x in zip(names, found)}, "n": pa.array(n.astype(np.int64))})
 
         for batch in batches:
             for _, _, block in blocks(batch, "text", True):
-                found = keys(*tokens_of(block))
+                codes, first = tokens_of(block)
+                found = keys(codes, first[:-1])
                 kept.append(found)
-                size += len(found)
+                size += len(found[0])
                 if size >= FLUSH:
                     yield flush()
                     kept, size = [], 0
@@ -122,86 +119,99 @@ def _counter(keys: Callable[[np.ndarray, np.ndarray], np.ndarray]):
     return count
 
 
-def _counted(texts: DataFrame, keys: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    return texts.mapInArrow(_counter(keys), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def _counted(texts: DataFrame, keys: Callable, names: tuple[str, ...] = ("key",)) -> DataFrame:
+    rows = texts.mapInArrow(_counter(keys, names), ", ".join(f"{c} long" for c in names) + ", n long")
+    return rows.groupBy("key").agg(*(F.first(c).alias(c) for c in names[1:]), F.sum("n").alias("n"))
 
 
-def _frequent(counts: DataFrame, least: float, dtype) -> tuple[np.ndarray, np.ndarray]:
-    """Keys with at least ``least`` occurrences and their counts, sorted by key: at most 1 / share rows."""
-    rows = counts.where(F.col("n") >= least).toArrow()
-    keys = rows.column("key").to_numpy().view(dtype) if rows.num_rows else np.zeros(0, dtype)
-    n = rows.column("n").to_numpy() if rows.num_rows else np.zeros(0, np.int64)
-    order = np.argsort(keys)
-    return keys[order], n[order]
-
+def _arcs(counts: DataFrame, below: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """(key, h, l, n, p, lp) with the probability of each arc and that of its shorter history, and (h, fail) of the histories.
 
-def _weights(arcs: np.ndarray, n: np.ndarray, history: np.ndarray, lower: np.ndarray, histories: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probabilities of arcs from their histories, and the backoff weight of every history."""
-    high = (n - DISCOUNT) / history
-    state = (arcs >> 32).astype(np.int64)
-    left = 1 - np.bincount(state, high, histories)
-    below = 1 - np.bincount(state, lower, histories)
-    failure = np.where((left > 1e-12) & (below > 1e-12), np.log10(np.maximum(left, 1e-12) / np.maximum(below, 1e-12)), 0.0)
-    return np.log10(high), failure
+    ``h`` is the code of an n-gram without its last word, ``l`` that without its first; ``below`` has (key, n, p) of both.
+    """
+    rows = counts.join(below.select(F.col("key").alias("h"), F.col("n").alias("hn")), "h")
+    rows = rows.select("key", "h", "l", "n", ((F.col("n") - DISCOUNT) / F.col("hn")).alias("p"))
+    rows = stored(rows, label).join(below.select(F.col("key").alias("l"), F.col("p").alias("lp")), "l")
+    rows = stored(rows.select("key", "h", "l", "n", "p", "lp"), label)
+    least = lambda c: F.greatest(1 - F.sum(c), F.lit(1e-12))
+    return rows, stored(rows.groupBy("h").agg((F.log10(least("p")) - F.log10(least("lp"))).alias("fail")), "failure")
 
 
-def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
-    """The automaton, and the counts (key, n) of all words, learned from the column ``text``."""
+def learn(texts: DataFrame) -> Tables:
+    """The model of the column ``text``, counted over all texts."""
     spark = texts.sparkSession
-    counts = stored(_counted(texts, lambda codes, first: codes), "words")
+    counts = stored(_counted(texts, lambda codes, first: (codes,)), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    words, word_counts = _frequent(counts, max(1, WORD_SHARE * total["n"]), np.uint64)
-    often = word_counts >= STATE_SHARE * total["n"]
-    none = np.zeros(0)
-    model = Automaton(total["n"], total["v"], words, word_counts, words[often], none.astype(np.int64), none, none, none.astype(np.int64), none, none)
-    state_counts = word_counts[often].astype(float)
-
-    shared = spark.sparkContext.broadcast(model.states)
-
-    def pairs(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        own, before, _ = Automaton(0, 0, none, none, shared.value, none.astype(np.int64), none, none, none, none, none).history(codes, first[:-1])
-        return ((before << 32) | own)[(before >= 0) & (own >= 0)].view(np.uint64)
-
-    least = max(2, ARC_SHARE * total["n"])
-    model.pairs, pair_counts = _frequent(_counted(texts, pairs), least, np.int64)
-    root = (state_counts + 1) / (model.tokens + model.vocabulary + 1)
-    second = model.pairs & 0xFFFFFFFF
-    model.pair_weights, model.pair_failure = _weights(model.pairs, pair_counts, state_counts[model.pairs >> 32], root[second], len(model.states))
-
-    both = spark.sparkContext.broadcast((model.states, model.pairs))
-
-    def triples(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        states, known = both.value
-        own, _, pair = Automaton(0, 0, none, none, states, known, none, none, none, none, none).history(codes, first[:-1])
-        state2 = np.concatenate([np.full(1, -1, np.int64), pair[:-1]])
-        state2[first[:-1]] = -1
-        return ((state2 << 32) | own)[(state2 >= 0) & (pair >= 0)].view(np.uint64)
-
-    model.triples, triple_counts = _frequent(_counted(texts, triples), least, np.int64)
-    state2, third = model.triples >> 32, model.triples & 0xFFFFFFFF
-    middle = second[state2] if len(state2) else state2
-    low = find(model.pairs, (middle << 32) | third)
-    lower = 10 ** np.where(low >= 0, model.pair_weights[low] if len(model.pair_weights) else 0.0, model.pair_failure[middle] + np.log10(root[third])) if len(state2) else none
-    model.triple_weights, model.triple_failure = _weights(
-        model.triples, triple_counts, pair_counts[state2].astype(float), lower, len(model.pairs))
-    return model, counts
-
-
-def _scorer(shared):
+    size = float(total["n"] + total["v"] + 1)
+
+    def pairs(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        key, before = pair_codes(codes)
+        return key, before, codes
+
+    seen = stored(_counted(texts, pairs, ("key", "h", "l")).where(F.col("n") >= LEAST), "pairs")
+    two, fail_one = _arcs(seen, counts.withColumn("p", (F.col("n") + 1) / size), "pairs")
+    known = spark.sparkContext.broadcast(sieve(two, "key", SIEVE))
+
+    def triples(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        pair, _ = pair_codes(codes)
+        key, at = triple_codes(codes, pair, first)
+        ok = passes(known.value, pair)
+        ok = ok[at] & ok[at - 1]
+        return key[ok], pair[at - 1][ok], pair[at][ok]
+
+    seen = stored(_counted(texts, triples, ("key", "h", "l")).where(F.col("n") >= LEAST), "triples")
+    three, fail_two = _arcs(seen, two, "triples")
+    none = F.coalesce("fail", F.lit(0.0))
+    over = (F.log10("p") - F.log10("lp") - F.col("fail")).alias("gain")
+    own = two.join(fail_one, "h").select("key", "n", over)
+    own = own.join(fail_two.withColumnRenamed("h", "key"), "key", "left").select("key", "n", (F.col("gain") + none).alias("gain"))
+    gains = stored(own.unionByName(three.join(fail_two, "h").select("key", "n", over)), "gains")
+    words = stored(counts.join(fail_one.withColumnRenamed("h", "key"), "key", "left").select("key", "n", none.alias("fail")), "words")
+    return Tables(total["n"], total["v"], words, two, gains)
+
+
+def _sorted(rows: pa.Table, *columns: str) -> list[np.ndarray]:
+    rows = rows.combine_chunks()
+    keys = rows.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return [keys[order], *(rows.column(c).to_numpy()[order] for c in columns)]
+
+
+def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
+    """The words and pairs of ``learn`` brought to the driver, for a corpus whose model fits there; and the counts of all words."""
+    model = learn(texts)
+    words, n, fail = _sorted(model.words.toArrow(), "n", "fail")
+    rows = model.pairs.toArrow()
+    h, l = (find(words, rows.column(c).to_numpy().view(np.uint64)) for c in ("h", "l"))
+    order = np.argsort(pairs := (h << 32) | l)
+    return Automaton(model.tokens, model.vocabulary, words, n, words, pairs[order], np.log10(rows.column("p").to_numpy())[order], fail), model.words
+
+
+def _scorer(shared, wanted, root: float):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Automaton = shared.value
+        words, logs, fails, grams, gains = shared.value
         for batch in batches:
             for low, high, block in blocks(batch, "text", True):
                 codes, first = tokens_of(block)
-                weights, known = model.traverse(codes, first[:-1])
-                base = np.where(known >= 0, np.log10(model.word_counts[known] + 1.0) if len(model.word_counts) else 0.0, 0.0)
-                base -= np.log10(model.tokens + model.vocabulary + 1.0)
-                rare = np.flatnonzero(known < 0)
-                add = np.add.reduceat
                 cut = first[:-1]
+                pair, _ = pair_codes(codes)
+                triple, at = triple_codes(codes, pair, cut)
+                known = find(words, codes)
+                base = np.where(known >= 0, logs[known] if len(logs) else 0.0, 0.0) - root
+                weight = base + np.where(known >= 0, fails[known] if len(fails) else 0.0, 0.0)
+                rare, place = [codes[known < 0]], [np.flatnonzero(known < 0)]
+                for key, where in ((pair, np.arange(len(codes))), (triple, at)):
+                    hot = find(grams, key)
+                    weight[where] += np.where(hot >= 0, gains[hot] if len(gains) else 0.0, 0.0)
+                    ask = np.flatnonzero((hot < 0) & passes(wanted.value, key))
+                    rare.append(key[ask])
+                    place.append(where[ask])
+                rare, place = np.concatenate(rare), np.concatenate(place)
+                order = np.argsort(place, kind="stable")
+                add = np.add.reduceat
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(low, high - low) for c in ("row", "doc_id", "held_out")), pa.array(np.diff(first)), pa.array(
-                    add((known >= 0).astype(np.int64), cut)), pa.array(add(base, cut)), pa.array(add(weights, cut)), pa.ListArray.from_arrays(
-                    pa.array(np.searchsorted(rare, first).astype(np.int32)), int64(codes[rare]))],
+                    add((known >= 0).astype(np.int64), cut)), pa.array(add(base, cut)), pa.array(add(weight, cut)), pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(place[order], first).astype(np.int32)), int64(rare[order]))],
                     ["row", "doc_id", "held_out", "n_tokens", "known", "base", "weight", "rare"])
 
     return score
@@ -209,15 +219,22 @@ def _scorer(shared):
 
 def scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; rows held out teach nothing."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    model, counts = train(rows.where(~F.col("held_out")).select("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model = learn(rows.where(~F.col("held_out")).select("text"))
+    often, arc = F.col("n") >= WORD_SHARE * model.tokens, F.col("n") >= ARC_SHARE * model.tokens
+    words, n, fails = _sorted(model.words.where(often).toArrow(), "n", "fail")
+    shared = spark.sparkContext.broadcast((words, np.log10(n + 1.0), fails, *_sorted(model.gains.where(arc).toArrow(), "gain")))
+    wanted = spark.sparkContext.broadcast(sieve(model.gains.where(~arc), "key", SIEVE))
     heads = stored(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
-        _scorer(shared), "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, weight double, rare array<long>"), "scores")
-    # words below the share that is broadcast: their exact counts come by a join on the word
-    rare = heads.select("row", F.explode("rare").alias("key")).join(counts, "key")
-    rare = rare.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("gain"))
-    gain = F.coalesce("gain", F.lit(0.0))
+        _scorer(shared, wanted, float(np.log10(model.tokens + model.vocabulary + 1.0))),
+        "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, weight double, rare array<long>"), "scores")
+    # what is not in the cache comes by a join on the code, words and n-grams alike
+    exact = model.words.where(~often).select("key", F.lit(1).alias("more"), F.log10(F.col("n") + 1).alias("gain"), "fail").unionByName(
+        model.gains.where(~arc).select("key", F.lit(0).alias("more"), F.lit(0.0).alias("gain"), F.col("gain").alias("fail")))
+    rare = heads.select("row", F.explode("rare").alias("key")).join(exact, "key")
+    rare = rare.groupBy("row").agg(F.sum("more").alias("more"), F.sum("gain").alias("gain"), F.sum("fail").alias("fail"))
+    gain, fail = F.coalesce("gain", F.lit(0.0)), F.coalesce("fail", F.lit(0.0))
     return heads.drop("rare").join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + gain).alias("base_score"), (F.col("weight") + gain).alias("score"))
+        (F.col("base") + gain).alias("base_score"), (F.col("weight") + gain + fail).alias("score"))

@@ -59,6 +59,31 @@ def test_repeats_are_those_of_every_window(docs, rows, spark):
     assert repeats.remove_repeats(empty(spark)).count() == 0
 
 
+def test_repeats_tell_windows_apart_by_all_bits_of_their_codes(spark, monkeypatch):
+    """Different windows under one anchor whose codes agree in the low 32 bits are no repeats."""
+    whole = repeats.spans_code
+    monkeypatch.setattr(repeats, "spans_code", lambda values, starts, ends: whole(values, starts, ends) << np.uint64(32) if len(ends) and ends[0] - starts[0] == 50 else whole(values, starts, ends))
+    rng = random.Random(8)
+    passage = sentence(rng, 30)
+    rows = [(i, " ".join([f"x{i}_{k}" for k in range(40)] + passage + [f"y{i}_{k}" for k in range(40)])) for i in range(40)]
+    rows.append((99, rows[0][1]))
+    import pyarrow as pa
+
+    class Every:
+        value = np.full(1, np.uint32(0xFFFFFFFF))
+
+    batch = pa.RecordBatch.from_pylist([{"key": i, "mark": i, "text": t} for i, t in rows])
+    found = pa.Table.from_batches(repeats._runner(50, Every)(iter([batch])))
+    found = found.append_column("class", found["key"]).append_column("first", found["key"])
+    windows = pa.Table.from_batches(repeats._open(found.to_batches()))
+    codes = windows.group_by(["anchor", "code"]).aggregate([("first", "count_distinct")])
+    assert len(set(codes["code"].to_pylist())) == 40 * 61
+    assert set(codes["first_count_distinct"].to_pylist()) == {1, 2}
+    monkeypatch.undo()
+    gone = {r.doc_id: r.n_removed for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 50).collect()}
+    assert gone == {**dict.fromkeys(range(40), 0), 99: 110}
+
+
 @pytest.mark.parametrize("length", [2, 5, 90])
 def test_repeats_of_other_lengths(docs, rows, length):
     want = [(i, sum(g)) for (i, _), g in zip(rows, brute.removed(rows, length))]

@@ -86,7 +86,7 @@ def _runner(length: int, wanted):
                 ok = passes(wanted.value, anchor)
                 anchor, first, n = anchor[ok], first[ok], n[ok]
                 at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-                codes = spans_code(block.codes, at, at + length).astype(np.uint32)
+                codes = spans_code(block.codes, at, at + length)
                 doc = block.doc[first]
                 yield pa.record_batch({
                     "anchor": int64(anchor), "key": pa.array(key[low + doc]), "mark": pa.array(mark[low + doc]),
@@ -99,12 +99,12 @@ def _runner(length: int, wanted):
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each window of a class."""
     for batch in batches:
-        codes, bounds = numbers_of(batch.column("codes"), np.uint32)
+        codes, bounds = numbers_of(batch.column("codes"), np.uint64)
         n = np.diff(bounds)
         row = np.repeat(np.arange(len(n)), n)
         yield pa.record_batch({
             "anchor": batch.column("anchor").take(pa.array(row)), "class": batch.column("class").take(pa.array(row)), "first": batch.column("first").take(pa.array(row)),
-            "code": pa.array(codes.astype(np.int64)), "at": pa.array((np.arange(len(row)) - bounds[:-1][row]).astype(np.int32))})
+            "code": int64(codes), "at": pa.array((np.arange(len(row)) - bounds[:-1][row]).astype(np.int32))})
 
 
 def repeated_runs(docs: DataFrame, length: int) -> DataFrame:

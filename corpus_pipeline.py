@@ -28,10 +28,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, 0.8); a document without words is no copy."""
-    found = near_copies.near_copies(docs, near_copies.Rule(words=5, num=80, den=100))
-    gone = unused("gone", docs.columns)
-    copies = found.where("not kept").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(copies, F.col("doc_id") == F.col(gone), "left_anti")
+    return near_copies.one_of_each(docs, near_copies.Rule(words=5, num=80, den=100))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

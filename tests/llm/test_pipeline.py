@@ -36,6 +36,19 @@ def test_stages_on_odd_rows(spark, sf_dir):
     assert {r.doc_id for r in packed} == {r.doc_id for r in clean}
 
 
+def test_one_row_of_each_group_where_ids_repeat_or_are_null(spark, sf_dir):
+    rng = random.Random(9)
+    x, y, z, u, alone = (" ".join(f"w{rng.randrange(3000)}" for _ in range(120)) for _ in range(5))
+    rows = [(3, y), (7, x), (7, y + " more"), (9, x), (None, z), (None, z), (None, z + " more"), (12, u), (12, u), (12, u), (None, alone), (30, ""), (30, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"src{n}", len(t or ""), *"sfgmr") for n, (i, t) in enumerate(rows)], KINDS)
+    got = corpus_pipeline.keep_one_of_each(spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in got.collect()]
+    nulls = [t for i, t in got if i is None]
+    assert sorted((i, t or "") for i, t in got if i is not None) == sorted([(3, y), (7, x), (12, u), (30, ""), (30, "")])
+    assert len(nulls) == 2 and alone in nulls and {z, z + " more"} & set(nulls)
+
+
 def test_run_on_the_small_tables(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.shared import components, passes, sieve, stored
+from tilewright.llm.shared import components, passes, sieve, stored, unused
 from tilewright.llm.text import Block, blocks, int64, mix, numbers_of, spans_code, split_binary
 
 SHORT_LIST = 32
@@ -93,19 +93,19 @@ def _surveyor(text: str, doc_id: str, rule: Rule):
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int32)
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(doc_id))
+            ids, marks = batch.column(batch.schema.get_field_index(doc_id)), batch.column("mark")
             for low, high, block in blocks(batch, text, True):
                 values, bounds, sig = shingle_sets(block, rule.words)
                 at, _ = _heads(bounds, rule.sketch)
                 np.add.at(counts, (values[at] & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
                 n = np.diff(bounds)
                 yield pa.record_batch({
-                    "doc_id": ids.slice(low, high - low), "n_shingles": pa.array(n),
+                    "doc_id": ids.slice(low, high - low), "mark": marks.slice(low, high - low), "n_shingles": pa.array(n),
                     "sig": pa.array(sig.view(np.int64), mask=n == 0), "bucket": pa.nulls(high - low, pa.int64()), "seen": pa.nulls(high - low, pa.int64())})
         often = np.flatnonzero(counts >= LOCAL_COUNT)
         if len(often):
             none = pa.nulls(len(often), pa.int64())
-            yield pa.record_batch({"doc_id": none, "n_shingles": none, "sig": none, "bucket": pa.array(often), "seen": pa.array(counts[often].astype(np.int64))})
+            yield pa.record_batch({"doc_id": none, "mark": none, "n_shingles": none, "sig": none, "bucket": pa.array(often), "seen": pa.array(counts[often].astype(np.int64))})
 
     return survey
 
@@ -285,13 +285,14 @@ def _linker(rule: Rule):
     return link
 
 
-def near_copies(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+def _named(docs: DataFrame, rule: Rule, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, n_shingles, sig) for every row, ``mark`` the text's hash; and (sig, root, component_id) of all sets."""
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    source = source.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
     survey = stored(source.mapInArrow(
-        _surveyor("text", "doc_id", rule), "doc_id long, n_shingles long, sig long, bucket long, seen long"), "survey")
-    rows = survey.where("bucket is null").select("doc_id", "n_shingles", "sig")
+        _surveyor("text", "doc_id", rule), "doc_id long, mark long, n_shingles long, sig long, bucket long, seen long"), "survey")
+    rows = survey.where("bucket is null").select("doc_id", "mark", "n_shingles", "sig")
     often = survey.where("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen")).toArrow()
     often = spark.sparkContext.broadcast((often.column("bucket").to_numpy(), often.column("seen").to_numpy()))
 
@@ -327,7 +328,29 @@ def near_copies(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id
     of = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("low")).join(roots, F.col("sig") == F.col("node"), "left").select(
         "sig", "low", F.coalesce("root", "sig").alias("root"))
     lowest = of.groupBy("root").agg(F.min("low").alias("component_id"))
-    names = stored(of.join(lowest, "root").select("sig", "component_id"), "names")
+    return rows, stored(of.join(lowest, "root").select("sig", "root", "component_id"), "names")
+
+
+def near_copies(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+    rows, names = _named(docs, rule, text, doc_id)
     out = rows.join(names, "sig", "left").select(
         "doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull()))
+
+
+def one_of_each(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Rows of ``docs``: one of each component, that of the smallest id (null last), then hash of the text, then hash of the row."""
+    rows, names = _named(docs, rule, text, doc_id)
+    # rows that agree in id and text are in one component, so they are judged together
+    groups = stored(rows.where("sig is not null").join(names.select("sig", "root"), "sig").groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n")), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    best = stored(groups.groupBy("root").agg(F.min(order).alias("best")), "best")
+    judged = groups.join(best, "root").select("doc_id", "mark", "n", (order == F.col("best")).alias("first"))
+    judged = stored(judged.where("not first or n > 1"), "judged")
+    id_, mark, line = unused("id", docs.columns), unused("mark", docs.columns), unused("line", docs.columns)
+    same = F.col(doc_id).cast("bigint").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(mark))
+    named = judged.select(F.col("doc_id").alias(id_), F.col("mark").alias(mark), "first")
+    equal = docs.join(named.where("first").drop("first"), same).groupBy(id_, mark).agg(
+        F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(line)).select(f"{line}.*")
+    return docs.join(named.drop("first"), same, "left_anti").unionByName(equal)

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import language_model, near_copies, nearest_vectors, packing, phrases, quality, repeats, secrets, token_counts, token_output
+from tilewright.llm import (
+    language_model, lexicon_prints, near_copies, nearest_vectors, packing, phrases, pivot_clusters, quality, repeats, secrets, source_audit, token_counts,
+    token_output)
 from tilewright.llm.oracles import ORACLES
 from tilewright.llm.shared import table
 from tilewright.session import scratch_path
@@ -85,6 +87,24 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(table(spark, sf_dir, "documents"), near_copies.Rule(words=3, num=85, den=100))
 
 
+def op11_lexicon_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms in 1 of 5000 to 1 of 100 documents."""
+    found = lexicon_prints.edit_prints(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", lexicon_prints.shown(F.col("print")).alias("fingerprint"),
+                        lexicon_prints.shown(F.col("edited_print")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op12_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 centroids, three rounds, components times 64."""
+    found = pivot_clusters.clustered(table(spark, sf_dir, "embeddings"), k=16, rounds=3, size=64, scale=64)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of 30 documents of their language; 50 terms for each source."""
+    return source_audit.audit(table(spark, sf_dir, "documents"), least_docs=30, most=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeated_words": op1_repeated_words,
     "op2_token_counts": op2_token_counts,
@@ -96,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_near_copies": op10_near_copies,
+    "op11_lexicon_prints": op11_lexicon_prints,
+    "op12_pivot_clusters": op12_pivot_clusters,
+    "op13_source_audit": op13_source_audit,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -9,7 +9,8 @@ from tilewright.functions import cells, predicates as p
 from tilewright.functions.text import declared_columns
 from tilewright.operators import refine
 from tilewright.plans import search as s
-from tilewright.sources import layers as ly
+from tilewright.session import scratch_path
+from tilewright.sources import clustered as cl, layers as ly
 from tilewright.sources.derived import BOUND, EDITS, LAYER, POINTS, POLYGONS
 
 P, L, ED, PG = POINTS.sql(), LAYER.sql(), EDITS.sql(), POLYGONS.sql()
@@ -29,6 +30,7 @@ def meets(b):
 
 
 SMALL = (117.2, 31.1, 117.5, 31.3)
+CELLS = ("wte", "wtdz", "wtexb", "wte2q8")
 
 
 @query("SRC1_bounded_feature_scan", f"""
@@ -39,6 +41,16 @@ def src1(spark, sf):
     return ly.scan_features(df, SMALL, category="kind", values=["ECONOMY", "PROMO", "STANDARD"]).select("id", "brand", "kind")
 
 
+@query("SRC1_clustered_scan", f"""
+    WITH poly AS ({PG}), edges AS ({EDGES}) SELECT id, brand, kind FROM poly
+    WHERE id % 11 <> 0 AND kind IN ('ECONOMY', 'PROMO', 'STANDARD') AND id IN ({meets(SMALL)})""")
+def src1c(spark, sf):
+    path = scratch_path(spark, "clustered")
+    df = quads(spark, sf).withColumn("ring", F.when(c("id") % 11 != 0, c("ring")))
+    cl.write_layer(df, path, [F.when(c("ring").isNotNull(), c(k)) for k in ("px0", "py0", "px2", "py2")])
+    return ly.scan_features(cl.read_bound(spark, path, SMALL), SMALL, category="kind", values=["ECONOMY", "PROMO", "STANDARD"]).select("id", "brand", "kind")
+
+
 @query("F3_inside_bound", f"""
     WITH poly AS ({PG}), edges AS ({EDGES}) SELECT id, count(*) AS n FROM edges GROUP BY id
     HAVING min(x1) >= {SMALL[0]} AND max(x1) <= {SMALL[2]} AND min(y1) >= {SMALL[1]} AND max(y1) <= {SMALL[3]}""")
@@ -212,6 +224,25 @@ def src2(spark, sf):
         F.count("*").alias("n"), F.min("id").alias("first_id"), F.round(F.sum("alt"), 3).alias("alts"))
 
 
+@query("SRC2_clustered_layer_scan", f"""
+    WITH i AS ({LAYER_SQL}) SELECT substr({geohash('lng', 'lat', 6)}, 1, 6) AS geohash, table_name, count(*) AS n, min(id) AS first_id, {r('sum(alt)', 3)} AS alts
+    FROM i WHERE lng >= {SMALL[0]} AND lng <= {SMALL[2]} AND lat >= {SMALL[1]} AND lat <= {SMALL[3]} GROUP BY 1, 2""")
+def src2c(spark, sf):
+    path = scratch_path(spark, "clustered")
+    cl.write_points(all_layers(spark, sf), path)
+    df = cl.read_bound(spark, path, SMALL).where(p.in_bound(c("lng"), c("lat"), SMALL))
+    return df.groupBy(cells.code_to_hash(c("cell"), 6).alias("geohash"), "table_name").agg(
+        F.count("*").alias("n"), F.min("id").alias("first_id"), F.round(F.sum("alt"), 3).alias("alts"))
+
+
+@query("F5_cell_ranges", " UNION ALL ".join(f"SELECT id, '{h}' AS cell FROM ({P}) WHERE substr({geohash('lng', 'lat', 6)}, 1, {len(h)}) = '{h}'" for h in CELLS))
+def f5c(spark, sf):
+    path = scratch_path(spark, "clustered")
+    cl.write_points(POINTS.frame(spark, sf).select("id", "lng", "lat"), path)
+    found = [cl.read_cell(spark, path, h).select("id", F.lit(h).alias("cell")) for h in CELLS]
+    return ly.union_layers(found)
+
+
 @query("U3_union_layers", f"SELECT table_name, type, id, name, model, lng, lat, alt, obj_angle, z_scale FROM ({LAYER_SQL})")
 def u3(spark, sf):
     return layer_columns(all_layers(spark, sf))

@@ -56,9 +56,9 @@ def test_a_finer_cover_wastes_less():
 def boxes(spark):
     rng = random.Random(2)
     rows = []
-    for i in range(4000):
+    for i in range(12000):
         x, y = rng.uniform(117.0, 117.8), rng.uniform(31.0, 31.6)
-        side = (0.3 if i % 100 == 0 else rng.choice([0.0, 1e-7, 1e-4, 0.002])) * rng.random()
+        side = (0.3 if i % 1000 == 0 else rng.choice([0.0, 1e-7, 1e-4, 0.002])) * rng.random()
         rows.append((i, x, y, x + side, y + side * rng.random()))
     rows += [(9000, None, 31.0, 117.1, 31.1), (9001, float("nan"), 31.0, 117.1, 31.1), (9002, -180.0, -90.0, 180.0, 90.0), (9003, 117.5, 31.3, 117.5, 31.3)]
     return spark.createDataFrame(rows, "id long, w double, s double, e double, n double")

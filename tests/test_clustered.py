@@ -90,7 +90,7 @@ def test_a_bound_meets_the_same_boxes_from_few_row_groups(spark, tmp_path):
     assert groups >= 60 and read < groups / 3, (read, groups)
     near.write.format("noop").mode("overwrite").save()
     plan = near._jdf.queryExecution().executedPlan()
-    assert "PushedFilters" in plan.toString() and "GreaterThanOrEqual(curve" in near._jdf.queryExecution().toString()
+    assert "PushedFilters: [Or(" in plan.toString()
 
 
 def test_points_and_cells(spark, tmp_path):

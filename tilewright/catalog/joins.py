@@ -8,7 +8,7 @@ from tilewright.catalog.partition import BOUND
 from tilewright.catalog.registry import query
 from tilewright.catalog.sqltext import geohash, r
 from tilewright.functions import cells
-from tilewright.operators import chains as ch, drape as dr, lines as ln, nearest as nr
+from tilewright.operators import chains as ch, drape as dr, lines as ln, nearest as nr, pyramid as py
 from tilewright.operators.boxes import overlapping
 from tilewright.sources.derived import GEO_LINE_VERTICES, LINE_VERTICES, POINTS, POLYGONS, TRIANGLES
 
@@ -34,7 +34,7 @@ def j5(spark, sf):
     items = nr.segment_items(ln.stations(ln.segments_of(g)))
     pts = POINTS.frame(spark, sf).select("id", c("lng").alias("px"), c("lat").alias("py"))
     d, _ = nr.segment_distance(c("px"), c("py"), c("x1"), c("y1"), c("x2"), c("y2"))
-    best = nr.nearest(pts, items, "id", F.round(d, 12), ["line_id", "i"], ["line_id", "i", "x1", "y1", "x2", "y2", "s0", "s1", "total"], 0.004)
+    best = py.nearest(pts, items, "id", F.round(d, 12), ["line_id", "i"], ["line_id", "i", "x1", "y1", "x2", "y2", "s0", "s1", "total"], 0.004)
     rows = best.join(pts, "id")
     _, t = nr.segment_distance(c("px"), c("py"), c("x1"), c("y1"), c("x2"), c("y2"))
     km = c("line_id") + (c("s0") + t * (c("s1") - c("s0"))) / c("total") * 0.25
@@ -53,7 +53,7 @@ def j12(spark, sf):
     pts = LINE_VERTICES.frame(spark, sf).selectExpr(*OFFS.split(", "))
     items = nr.segment_items(seg(spark, sf))
     d, _ = nr.segment_distance(c("px"), c("py"), c("x1"), c("y1"), c("x2"), c("y2"))
-    best = nr.nearest(pts, items, "pid", F.round(d, 9), ["i"], ["i", "x1", "y1", "x2", "y2", "s0", "s1"], 16.0, on=("line_id",))
+    best = py.nearest(pts, items, "pid", F.round(d, 9), ["i"], ["i", "x1", "y1", "x2", "y2", "s0", "s1"], 16.0, on=("line_id",))
     rows = best.join(pts.select("pid", "px", "py"), "pid")
     _, t = nr.segment_distance(c("px"), c("py"), c("x1"), c("y1"), c("x2"), c("y2"))
     side = (c("x2") - c("x1")) * (c("py") - c("y1")) - (c("y2") - c("y1")) * (c("px") - c("x1"))
@@ -224,7 +224,7 @@ def j17k(spark, sf):
     _, b = boxes(spark, sf)
     pts = POINTS.frame(spark, sf).select("id", c("lng").alias("px"), c("lat").alias("py"))
     gap = F.round(F.sqrt(nr.box_gap2(c("px"), c("py"), c("px"), c("py"), c("bw"), c("bs"), c("be"), c("bn"))), 10)
-    best = nr.nearest(pts, b, "id", gap, ["bid"], ["bid"], 0.03, k=3)
+    best = py.nearest(pts, b, "id", gap, ["bid"], ["bid"], 0.03, k=3)
     return best.select("id", "bid", c("rank").cast("int").alias("rank"), (c("distance") + 0.0).alias("gap"))
 
 

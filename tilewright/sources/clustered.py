@@ -26,7 +26,7 @@ CURVE_BITS = cells.LNG_BITS + cells.LAT_BITS
 TIER, CODE = "tier", "curve"
 #: Tiers beside the cell levels: features without extent, and those without a place.
 POINT, NOWHERE = cells.MAX_LEVEL + 1, -1
-RANGES = 32
+RANGES = 16
 ROW_GROUP_BYTES = 8 << 20
 
 Range = tuple[int, int]

@@ -19,9 +19,8 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,25 +51,27 @@ def lexicon(docs: DataFrame, band: Band = Band(), text: str = "text") -> DataFra
     return stored(seen.where((F.col("seen") >= F.lit(band.least * n)) & (F.col("seen") - band.grace <= F.lit(band.most * n))).select("term"), "lexicon")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out a single time, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def signatures(terms: Column) -> Column:
     """A signature by subset, '' without terms, from the sorted distinct terms."""
-    dealt = F.transform(terms, lambda t: F.struct(t.alias("term"), F.conv(F.substring(F.md5(t), 1, 9), 16, 10).cast("bigint").alias("deal")))
-    out, below = [], 36
-    for bits, kept in LEVELS:
-        below -= bits
-        out.append(_level(dealt, below, bits, kept))
-    return F.concat(*out)
+    deals = F.transform(terms, lambda t: F.struct(t.alias("term"), F.conv(F.substring(F.md5(t), 1, 9), 16, 10).cast("bigint").alias("deal")))
+    lows = [36 - sum(bits for bits, _ in LEVELS[: i + 1]) for i in range(len(LEVELS))]
+    return once(deals, lambda dealt: F.concat(*[_level(dealt, low, bits, kept) for low, (bits, kept) in zip(lows, LEVELS)]))
 
 
 def _level(dealt: Column, low: int, bits: int, kept: int) -> Column:
     """The signatures of one level's subsets, in order."""
     part = lambda x: F.shiftright(x["deal"], low).bitwiseAND(F.lit((1 << bits) - 1))
-    mine = F.filter(dealt, lambda x: part(x) < kept) if kept < 1 << bits else dealt
-    return F.transform(F.sequence(F.lit(0), F.lit(kept - 1)), lambda j: _signature(F.filter(mine, lambda x: part(x) == j)))
-
-
-def _signature(subset: Column) -> Column:
-    return F.when(F.size(subset) == 0, F.lit("")).otherwise(F.substring(F.md5(F.array_join(F.transform(subset, lambda x: x["term"]), " ")), 1, 8))
+    parts = F.transform(dealt, lambda x: F.struct(x["term"].alias("term"), part(x).alias("part")))
+    if kept < 1 << bits:
+        parts = F.filter(parts, lambda x: x["part"] < kept)
+    held = lambda j: lambda mine: F.transform(F.filter(mine, lambda x: x["part"] == j), lambda x: x["term"])
+    joined = once(parts, lambda mine: F.transform(F.sequence(F.lit(0), F.lit(kept - 1)), lambda j: F.array_join(held(j)(mine), " ")))
+    return F.transform(joined, lambda t: F.when(t == "", t).otherwise(F.substring(F.md5(t), 1, 8)))
 
 
 def printed(texts: DataFrame, keys: Sequence[str], known: DataFrame, carry: Sequence[str] = (), text: str = "text") -> DataFrame:
@@ -99,16 +100,15 @@ def likeness(a: Column, b: Column) -> Column:
     """
     met = F.zip_with(a, b, lambda x, y: F.struct(((x != "") | (y != "")).cast("int").alias("some"), ((x == y) & (x != "")).cast("int").alias("same")))
     total = lambda items, name: F.aggregate(items, F.lit(0), lambda s, x: s + x[name])
-    levels, at = [], 1
-    for _, kept in LEVELS:
-        mine = F.slice(met, at, kept)
-        levels.append((total(mine, "some"), total(mine, "same"), kept))
-        at += kept
-    add = lambda items: reduce(lambda x, y: x + y, items)
-    sparse = add([F.when(4 * some <= 3 * kept, some).otherwise(0) for some, _, kept in levels])
-    equal = add([F.when(4 * some <= 3 * kept, same).otherwise(0) for some, same, kept in levels])
-    all_some, all_same = add([x[0] for x in levels]), add([x[1] for x in levels])
-    return F.when(sparse > 0, equal / sparse).when(all_some > 0, all_same / all_some).otherwise(F.lit(1.0)).cast("double")
+    named = lambda **fields: F.named_struct(*[c for name, value in fields.items() for c in (F.lit(name), value)])
+    ends = [sum(kept for _, kept in LEVELS[:i]) for i in range(len(LEVELS))]
+    levels = lambda m: F.array(*[named(some=total(F.slice(m, at + 1, kept), "some"), same=total(F.slice(m, at + 1, kept), "same"), kept=F.lit(kept))
+                                 for at, (_, kept) in zip(ends, LEVELS)])
+    sums = lambda items: named(some=total(items, "some"), same=total(items, "same"))
+    sparse = lambda x: named(sparse=sums(F.filter(x, lambda v: 4 * v["some"] <= 3 * v["kept"])), all=sums(x))
+    share = lambda x: F.when(x["sparse"]["some"] > 0, x["sparse"]["same"] / x["sparse"]["some"]).when(
+        x["all"]["some"] > 0, x["all"]["same"] / x["all"]["some"]).otherwise(F.lit(1.0))
+    return once(once(once(met, levels), sparse), share).cast("double")
 
 
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:

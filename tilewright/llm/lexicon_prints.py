@@ -162,11 +162,13 @@ def edit_prints(docs: DataFrame, band: Band = Band(), text: str = "text", doc_id
             F.struct(F.lit(True).alias("edit"), F.col("next_id").alias("way_id"), F.col("next_mark").alias("way_mark"), F.col("edited").alias("body")))).alias("b"),
         "doc_id", "n_chars", "copies").select("id", "mark", "b.edit", "b.way_id", "b.way_mark", "doc_id", "n_chars", "copies", "b.body").withColumn(
         "sha", F.sha2("body", 256))
-    prints = stored(printed(both, ["id", "mark", "edit", "way_id", "way_mark"], known, ["doc_id", "n_chars", "copies", "sha"], "body"), "prints")
-    mine = prints.where("not edit").select("id", "mark", F.col("print"))
-    edited = prints.where("edit").select("id", "mark", "doc_id", "n_chars", "copies", "sha", F.col("way_id").alias("next_id"), F.col("way_mark").alias("next_mark"), F.col("print").alias("edited_print"))
-    following = mine.select(F.col("id").alias("next_id"), F.col("mark").alias("next_mark"), F.col("print").alias("next_print"))
-    met = edited.join(mine, ["id", "mark"]).join(following, ["next_id", "next_mark"])
-    return met.select(
-        "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), "print", "edited_print", likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
+    prints = printed(both, ["id", "mark", "edit", "way_id", "way_mark"], known, ["doc_id", "n_chars", "copies", "sha"], "body")
+    # a text's own print and those of its edits lie in one task already; only the follower's print has to travel
+    way = F.struct("doc_id", "n_chars", "copies", "sha", F.col("way_id").alias("next_id"), F.col("way_mark").alias("next_mark"), F.col("print").alias("edited_print"))
+    paired = prints.groupBy("id", "mark").agg(F.max(F.when(~F.col("edit"), F.col("print"))).alias("print"), F.collect_list(F.when(F.col("edit"), way)).alias("ways"))
+    rows = stored(paired.select("id", "mark", "print", F.posexplode("ways").alias("nth", "w")).select("id", "mark", "print", "nth", "w.*").withColumn(
+        "near_edited", likeness(F.col("print"), F.col("edited_print"))), "prints")
+    following = rows.where("nth = 0").select(F.col("id").alias("next_id"), F.col("mark").alias("next_mark"), F.col("print").alias("next_print"))
+    return rows.join(following, ["next_id", "next_mark"]).select(
+        "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), "print", "edited_print", "near_edited",
         likeness(F.col("print"), F.col("next_print")).alias("near_next"), F.explode(F.expr("sequence(1L, copies)")).alias("copy")).drop("copy")

@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.phrases import lowered
 from tilewright.llm.shared import stored
+from tilewright.llm.text import blocks, gathered, lower_table
 
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+BLOCK = 1 << 21
 UNIT = 1_000_000_000
 TERMS = 2048
 SOURCES = 64
@@ -42,14 +42,40 @@ def probability(count: str, total: str, kept: str) -> Column:
     return F.expr(f"1 + (cast({count} + 5 as decimal(20,0)) * {UNIT}) div cast({total} + 5 * {kept} as decimal(20,0))")
 
 
+def letter_ends() -> np.ndarray:
+    """True for the bytes that end a term: all of ASCII but its letters."""
+    table = np.arange(256) < 128
+    table[65:91] = table[97:123] = False
+    return table
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences and documents by (lang, source, term) of each block; a block's terms are told apart by their 64-bit codes."""
+    ends, lower = letter_ends(), lower_table()
+    for batch in batches:
+        langs, sources = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
+        group = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
+        for low, high, block in blocks(batch, "text", True, BLOCK, ends):
+            known, mine = np.unique(group[low:high], return_inverse=True)
+            codes, first, term = np.unique(block.codes, return_index=True, return_inverse=True)
+            n = max(1, len(codes))
+            pair, times = np.unique(block.doc * n + term, return_counts=True)
+            cell, at = np.unique(mine[pair // n] * n + pair % n, return_inverse=True)
+            terms = pa.concat_arrays([gathered(lower[block.data], block.starts[first], block.ends[first]), pa.array([""])])
+            # the last term, '', names the groups
+            places = pa.array(np.concatenate([cell % n, np.full(len(known), len(codes))]).astype(np.int64))
+            of = known[np.concatenate([cell // n, np.arange(len(known))]).astype(np.int64)]
+            total = lambda w: pa.array(np.concatenate([np.bincount(at, w, len(cell)).astype(np.int64), np.zeros(len(known), np.int64)]))  # noqa: B023, E731
+            yield pa.record_batch({
+                "lang": langs.dictionary.take(pa.array(of // len(sources.dictionary))), "source": sources.dictionary.take(pa.array(of % len(sources.dictionary))),
+                "term": terms.take(places), "n": total(times), "docs": total(None)})
+
+
 def counted(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents; every group has a row with the term '' and n 0."""
-    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
-                       F.transform(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), BETWEEN), ""), lowered).alias("terms"))
-    one = lambda n, d: lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(d).alias("docs"))
-    each = rows.select("lang", "source", F.explode(F.concat(
-        F.array(one(0, 0)(F.lit(""))), F.transform("terms", one(1, 0)), F.transform(F.array_distinct("terms"), one(0, 1)))).alias("t"))
-    return each.select("lang", "source", "t.*").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    named = lambda c, name: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
+    each = docs.select(named(lang, "lang"), named(source, "source"), F.col(text).alias("text")).mapInArrow(_count, "lang string, source string, term string, n long, docs long")
+    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 class Audit:

@@ -64,9 +64,9 @@ def spans_code(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 class Block:
     """Words of consecutive texts: ``starts`` and ``ends`` in ``data``, ``doc`` the text's place in the block."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, ends: np.ndarray | None = None):
         self.data, self.offsets, self.size = data, offsets, len(offsets) - 1
-        inside = ~space_table()[data]
+        inside = ~(space_table() if ends is None else ends)[data]
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
         last[:-1] &= ~inside[1:]
@@ -99,8 +99,8 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return data, offsets
 
 
-def blocks(batch: pa.RecordBatch, text: str, lower: bool, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Block]]:
-    """The batch's rows in runs of about ``block_bytes`` of text; a longer text is a block of its own."""
+def blocks(batch: pa.RecordBatch, text: str, lower: bool, block_bytes: int = BLOCK_BYTES, ends: np.ndarray | None = None) -> Iterator[tuple[int, int, Block]]:
+    """The batch's rows in runs of about ``block_bytes`` of text; a longer text is a block of its own. ``ends`` are the bytes that end a word."""
     if not batch.num_rows:
         return
     data, offsets = texts_of(batch.column(batch.schema.get_field_index(text)))
@@ -108,10 +108,17 @@ def blocks(batch: pa.RecordBatch, text: str, lower: bool, block_bytes: int = BLO
     while low < batch.num_rows:
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + block_bytes, "right")) - 1)
         high = min(high, low + BLOCK_DOCS)
-        yield low, high, Block(data[offsets[low]: offsets[high]], offsets[low: high + 1] - offsets[low], lower)
+        yield low, high, Block(data[offsets[low]: offsets[high]], offsets[low: high + 1] - offsets[low], lower, ends)
         low = high
 
 
+def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The slices data[start:end] as strings."""
+    bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(ends - starts)])
+    at = np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], ends - starts)
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds.tobytes()), pa.py_buffer(data[at].tobytes())).cast(pa.string())
+
+
 def int64(values: np.ndarray) -> pa.Array:
     """Unsigned codes as Spark longs."""
     return pa.array(np.ascontiguousarray(values).view(np.int64))

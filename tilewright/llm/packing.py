@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,33 +28,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm.shared import stored
-from tilewright.llm.text import texts_of
+from tilewright.llm.text import Block, blocks, mix, spans_code, split_binary
 
 CAPACITY = 4096
 SHARD = 8192
-CACHED_WORDS = 800_000
-
-
-class Known(dict):
-    """Ids by word, found on first use."""
-
-    def __init__(self, find: Callable[[bytes], bytes]):
-        super().__init__()
-        self.find = find
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        ids = self[word] = self.find(word)
-        return ids
+CACHE_BYTES = 24 << 20
+
+
+class Known:
+    """Ids by 64-bit code, in flat arrays of at most ``CACHE_BYTES``; the less recently used half goes when they are full."""
+
+    def __init__(self):
+        self.codes, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.start, self.size, self.used, self.ids, self.turn = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4"), 0
+
+    def slots(self, codes: np.ndarray) -> np.ndarray:
+        """The slot of each code, -1 for those not known; the others count as used now."""
+        self.turn += 1
+        if not len(self.codes):
+            return np.full(len(codes), -1)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        found = self.codes[at] == codes
+        self.used[self.slot[at[found]]] = self.turn
+        return np.where(found, self.slot[at], -1)
+
+    def add(self, codes: np.ndarray, ids: list[bytes]) -> None:
+        """New codes and their ids. They and those of the last look-up are never dropped."""
+        order = np.argsort(codes)
+        sizes, flat = np.array([len(x) // 4 for x in ids], np.int64), np.frombuffer(b"".join(ids), "<u4")
+        at = np.searchsorted(self.codes, codes[order])
+        self.codes, self.slot = np.insert(self.codes, at, codes[order]), np.insert(self.slot, at, len(self.used) + order)
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.size, self.used = np.concatenate([self.size, sizes]), np.concatenate([self.used, np.full(len(codes), self.turn)])
+        self.ids = np.concatenate([self.ids, flat])
+        if 40 * len(self.codes) + 4 * len(self.ids) > CACHE_BYTES:
+            keep = self.used >= min(self.turn, int(np.median(self.used)) + 1)
+            stay = keep[self.slot]
+            self.codes, self.slot = self.codes[stay], (np.cumsum(keep) - 1)[self.slot[stay]]
+            self.ids, self.size, self.used = slices(self.ids, self.start[keep], self.size[keep]), self.size[keep], self.used[keep]
+            self.start = np.cumsum(self.size) - self.size
+
+    def of(self, slots: np.ndarray) -> list[bytes | None]:
+        return [self.ids[self.start[i]: self.start[i] + self.size[i]].tobytes() if i >= 0 else None for i in slots.tolist()]
+
+
+def slices(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs flat[start:start + size], one behind the other."""
+    before = np.cumsum(size) - size
+    return flat[np.arange(int(size.sum())) + np.repeat(start - before, size)]
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space, so that a text's ids are those of its words in turn.
 
-    Words are cut at ASCII white space and encoded once per worker, by the tokenizer's own normalizer,
-    splitter and merges; the parts of a word that merges can't join are kept too, for words share them.
-    Words with a special string go through the whole tokenizer. The caches start anew when they are full.
+    Words are cut at ASCII white space. Each distinct word of a block is looked up once, by its 64-bit code; new ones are
+    encoded by the tokenizer's own normalizer, splitter and merges, and so are the parts of a word that merges can't
+    join, for words share them. Words with a special string go through the whole tokenizer. What is known is kept
+    over the blocks and tasks of a worker within ``CACHE_BYTES``.
     """
 
     #: How the splitter cuts words of plain ASCII; checked against the tokenizer before use.
@@ -69,58 +101,89 @@ class WordEncoder:
         full = lambda t: self.whole.encode(t, add_special_tokens=False).ids
         if full(" a\tb\n") != full("a") + full("b"):
             raise ValueError("this tokenizer keeps white space; its texts can't be encoded word by word")
-        self.parts, self.words = Known(self._part), Known(self._word)
+        self.known, self.parts = Known(), Known()
         self.shortcut = True
-        self.shortcut = all(self._word(p.encode()) == np.array(full(p), "<u4").tobytes() for p in self.PROBES)
+        self.shortcut = all(self._words([p.encode()])[0] == np.array(full(p), "<u4").tobytes() for p in self.PROBES)
 
-    def _part(self, part: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if self.special.search(text):
-            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+    def _cut(self, text: str) -> list[str]:
         if self.shortcut and text.isascii() and text.isprintable():
-            if text.isalpha():
-                return self.parts[text.lower()]
-            parts = self.PARTS.findall(text.lower())
-        else:
-            parts = [p for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
-        return b"".join([self.parts[p] for p in parts])
-
-    def ids(self, text: bytes) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit numbers."""
-        return b"".join(map(self.words.__getitem__, text.split()))
+            text = text.lower()
+            return [text] if text.isalpha() else self.PARTS.findall(text)
+        return [p for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words that aren't known."""
+        out: list = [None] * len(words)
+        cuts: dict[int, list[str]] = {}
+        for i, word in enumerate(words):
+            text = word.decode("utf-8", "replace")
+            if self.special.search(text):
+                out[i] = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+            else:
+                cuts[i] = self._cut(text)
+        parts = list(dict.fromkeys(p for cut in cuts.values() for p in cut))
+        ids = dict(zip(parts, self._parts(parts)))
+        for i, cut in cuts.items():
+            out[i] = ids[cut[0]] if len(cut) == 1 else b"".join([ids[p] for p in cut])
+        return out
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        codes = words_code([p.encode() for p in parts])
+        out = self.parts.of(self.parts.slots(codes))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        for i in new:
+            out[i] = array("I", [t.id for t in self.model.tokenize(parts[i])]).tobytes()
+        if new:
+            self.parts.add(codes[new], [out[i] for i in new])
+        return out
+
+    def encoded(self, block: Block, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a block's texts with ``end_id`` behind each, and the bounds of the texts."""
+        codes, first, word = np.unique(block.codes, return_index=True, return_inverse=True)
+        new = np.flatnonzero(self.known.slots(codes) < 0)
+        if len(new):
+            raw = block.data.tobytes()
+            made = self._words([raw[a:b] for a, b in zip(block.starts[first[new]].tolist(), block.ends[first[new]].tolist())])
+            self.known.add(codes[new], made)
+        at = self.known.slots(codes)[word]
+        start, size = self.known.start[at], self.known.size[at]
+        bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(block.doc, size, block.size).astype(np.int64) + 1)])
+        out = np.full(int(bounds[-1]), end_id, "<u4")
+        out[np.arange(int(size.sum())) + np.repeat(block.doc, size)] = slices(self.known.ids, start, size)
+        return out, bounds
+
+
+def words_code(words: list[bytes]) -> np.ndarray:
+    """64-bit codes of words."""
+    bounds = np.cumsum([0, *map(len, words)])
+    return spans_code(mix(np.arange(1, 257, dtype=np.uint64))[np.frombuffer(b"".join(words), np.uint8)], bounds[:-1], bounds[1:])
 
 
 def encoder_of(path: str) -> WordEncoder:
-    """The encoder of this worker process: tasks that follow each other share its caches."""
-    import tokenizers
-
-    kept = tokenizers.__dict__.setdefault("_encoders_by_path", {})
-    if path not in kept:
-        kept[path] = WordEncoder(path)
-    return kept[path]
+    """The encoder of this worker process: tasks that follow each other share what it knows, for one tokenizer at a time."""
+    kept = sys.modules.setdefault("tilewright_worker_state", types.ModuleType("tilewright_worker_state"))
+    if getattr(kept, "path", None) != path:
+        kept.path, kept.encoder = path, WordEncoder(path)
+    return kept.encoder
 
 
 def _cutter(path: str, end_id: int, capacity: int, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_of(path), np.array([end_id], "<u4").tobytes()
+        encoder = encoder_of(path)
         for batch in batches:
-            data, offsets = texts_of(batch.column("text"))
-            raw, rows = data.tobytes(), []
-            base = 0
-            ids_of, row_of = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
-            for i in range(batch.num_rows):
-                ids = encoder.ids(raw[offsets[i] - base: offsets[i + 1] - base]) + end
-                for start in range(0, len(ids) // 4, capacity):
-                    piece = ids[start * 4: (start + capacity) * 4]
-                    rows.append((row_of[i], ids_of[i], start, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, piece if with_ids else None))
-                if len(rows) >= 4096 or i == batch.num_rows - 1:
-                    columns = list(zip(*rows))
-                    yield pa.record_batch({name: pa.array(column, kind) for name, column, kind in zip(
-                        ("row", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"), columns, [pa.int64()] * 6 + [pa.binary()])})
-                    rows = []
+            for low, high, block in blocks(batch, "text", False):
+                ids, bounds = encoder.encoded(block, end_id)
+                total = np.diff(bounds)
+                many = -(-total // capacity)
+                text = np.repeat(np.arange(high - low), many)
+                start = (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * capacity
+                edges = np.append(bounds[:-1][text] + start, bounds[-1])
+                raw = memoryview(ids.tobytes())
+                sums = [zlib.crc32(raw[4 * a: 4 * b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+                of = pa.array(text + low)
+                yield pa.record_batch({
+                    "row": batch.column("row").take(of), "doc_id": batch.column("doc_id").take(of), "start": pa.array(start), "length": pa.array(np.diff(edges)),
+                    "ids_crc32": pa.array(sums, pa.int64()), "doc_tokens": pa.array(total[text]), "ids": split_binary(ids, edges) if with_ids else pa.nulls(len(text), pa.binary())})
 
     return cut
 

@@ -21,6 +21,8 @@ from tilewright.llm.packing import CAPACITY, pieces
 from tilewright.llm.text import numbers_of, split_binary
 
 SHARD_BYTES = 1 << 22
+#: Shards read by one task, where the session's own number of tasks would read more.
+TASK_SHARDS = 16
 ROW = "sequence_id long, ids binary, cu_seqlens array<int>, position_ids binary, segments array<struct<row: long, doc_id: long, start: long>>"
 
 
@@ -115,6 +117,10 @@ def matrix(docs: DataFrame, tokenizer: str, end_id: int, pad_id: int = 0, capaci
     document and the place of its first id in it; behind the last segment there are ``pad_id`` and position 0.
     """
     bytes_ = docs.agg(F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("bigint") + 1)).first()[0] or 0
+    shards = max(1, -(-bytes_ // SHARD_BYTES))
     cut = pieces(docs, tokenizer, end_id, capacity, with_ids=True, text=text, doc_id=doc_id)
-    dealt = cut.select("row", "doc_id", "start", "length", "ids", F.pmod(F.xxhash64("row", "start"), F.lit(max(1, -(-bytes_ // SHARD_BYTES)))).alias("shard"))
+    dealt = cut.select("row", "doc_id", "start", "length", "ids", F.pmod(F.xxhash64("row", "start"), F.lit(shards)).alias("shard"))
+    tasks = -(-shards // TASK_SHARDS)
+    if tasks > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        dealt = dealt.repartition(tasks, "shard")
     return dealt.groupBy("shard").applyInArrow(_builder(capacity, pad_id), ROW)

@@ -26,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.shared import components, passes, sieve, stored, unused
+from tilewright.llm.shared import components, discard, passes, sieve, stored, unused
 from tilewright.llm.text import Block, blocks, int64, mix, numbers_of, spans_code, split_binary
 
 SHORT_LIST = 32
 BLOCK_ROWS = 256
 BUCKETS = 1 << 22
+LIST_BITS = 1 << 26
 LOCAL_COUNT = 3
 EXTRA = 3
 MISS = 1e-8
@@ -141,6 +142,16 @@ def _poster(text: str, rule: Rule, often):
     return post
 
 
+def _passing(wanted):
+    """The posts whose value the sieve lets through."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(wanted.value, batch.column("value").to_numpy())))
+
+    return keep
+
+
 def _setter(text: str, rule: Rule, wanted):
     """Full sets of the wanted signatures, once per task."""
 
@@ -297,14 +308,18 @@ def _named(docs: DataFrame, rule: Rule, text: str, doc_id: str) -> tuple[DataFra
     often = spark.sparkContext.broadcast((often.column("bucket").to_numpy(), often.column("seen").to_numpy()))
 
     texts = source.select("text")
-    posts = stored(texts.mapInArrow(_poster("text", rule, often), "value long, sig long, n long"), "posts")
+    posts = texts.mapInArrow(_poster("text", rule, often), "value long, sig long, n long").groupBy("value", "sig").agg(F.first("n").alias("n"))
+    posts = stored(posts, "posts")
     # each list's size and a checksum of its members: lists with the same members need only one of them
-    posts = posts.groupBy("value", "sig").agg(F.first("n").alias("n"))
-    lists = posts.groupBy("value").agg(
+    sizes = posts.groupBy("value").agg(
         F.count("*").alias("size"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.sum(F.shiftright(F.xxhash64("sig", F.lit(7)), 20)).alias("y")).where("size > 1")
-    long_lists = lists.where(F.col("size") > SHORT_LIST).groupBy("size", "x", "y").agg(F.min("value").alias("value")).select("value", "size")
-    lists = stored(lists.where(F.col("size") <= SHORT_LIST).select("value", "size").unionByName(long_lists), "lists")
-    members = stored(posts.join(lists, "value"), "members")
+    sizes = stored(sizes, "sizes")
+    long_lists = sizes.where(F.col("size") > SHORT_LIST).groupBy("size", "x", "y").agg(F.min("value").alias("value")).select("value", "size")
+    lists = stored(sizes.where(F.col("size") <= SHORT_LIST).select("value", "size").unionByName(long_lists), "lists")
+    # most values are in one list only; the sieve keeps them from moving again
+    shared = spark.sparkContext.broadcast(sieve(lists, "value", LIST_BITS))
+    members = stored(posts.mapInArrow(_passing(shared), "value long, sig long, n long").join(lists, "value"), "members")
+    discard(posts, sizes, lists)
 
     pairs = members.where(F.col("size") <= SHORT_LIST).groupBy("value").agg(
         F.collect_list(F.struct("sig", "n")).alias("members")).mapInArrow(_pairer(rule), "a long, b long, need long, home long")
@@ -317,6 +332,7 @@ def _named(docs: DataFrame, rule: Rule, text: str, doc_id: str) -> tuple[DataFra
         F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other")).select(
         "home", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig")
     cells = stored(short_cells.unionByName(long_cells), "cells")
+    discard(members)
 
     wanted = spark.sparkContext.broadcast(sieve(cells, "sig"))
     sets = texts.mapInArrow(_setter("text", rule, wanted), "sig long, shingles binary").join(cells.select("sig").distinct(), "sig", "left_semi")
@@ -324,6 +340,7 @@ def _named(docs: DataFrame, rule: Rule, text: str, doc_id: str) -> tuple[DataFra
     met = cells.join(sets, "sig").select("home", "i", "j", "own", "sig", "shingles")
     links = met.repartition("home", "i", "j").sortWithinPartitions("home", "i", "j").mapInArrow(_linker(rule), "a long, b long")
     roots = components(links)
+    discard(cells)
 
     of = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("low")).join(roots, F.col("sig") == F.col("node"), "left").select(
         "sig", "low", F.coalesce("root", "sig").alias("root"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from weakref import WeakKeyDictionary
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from tilewright.session import scratch_path
 
 SIEVE_BITS = 1 << 24
+#: Where the written tables of this process lie, while someone holds them.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +32,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends, a lost executor loses nothing."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written intermediate tables that nothing reads any more: what was made of them is written itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(df))
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sieve(df: DataFrame, column: str, bits: int = SIEVE_BITS) -> np.ndarray:
@@ -71,8 +83,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
         low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = stored(large, "edges")
+        discard(now, low)
         low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         now = stored(small, "edges")
+        discard(large, low)
     raise RuntimeError("components did not settle")

@@ -387,6 +387,14 @@ def test_nearest_vectors(spark):
     hits = sum(known[(r.query_id, r.rank)][0] == r.vec_id for r in got if r.query_id != 20)
     assert hits >= 0.9 * len(known)
     assert all(r.score == 0 for r in got if r.query_id == 20)
+    short = [(3000 + i, rng.normal(size=3).tolist()) for i in range(50)]
+    both = nearest_vectors.nearest(frame.unionByName(spark.createDataFrame([(i, v, 1, "x") for i, v in short], frame.schema)), F.col("vec_id") % 20 == 0, k=10, block_rows=200).collect()
+    assert ordered((r.query_id, r.rank) for r in both if r.query_id < 3000) == ordered((r.query_id, r.rank) for r in got)
+    assert all((r.vec_id >= 3000) == (r.query_id >= 3000) for r in both)
+    own = np.array([v for _, v in short])
+    want = {(q, int(v)) for q in (3000, 3020, 3040) for v in 3000 + np.argsort(np.sqrt(((own - own[q - 3000]) ** 2).sum(1)))[1:11]}
+    found = {(r.query_id, r.vec_id) for r in both if r.query_id >= 3000}
+    assert len(found) == 30 and len(found & want) >= 27
     few = nearest_vectors.nearest(frame.where("vec_id < 4"), F.col("vec_id") == 0).collect()
     assert [(r.rank, r.query_id) for r in sorted(few, key=lambda r: r.rank)] == [(1, 0), (2, 0), (3, 0)]
     assert nearest_vectors.nearest(frame.limit(0), F.lit(True)).count() == 0

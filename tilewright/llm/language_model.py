@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.shared import passes, sieve, stored
+from tilewright.llm.shared import discard, passes, sieve, stored
 from tilewright.llm.text import Block, blocks, int64, mix
 
 END = 0x5851F42D4C957F2D
@@ -124,15 +124,35 @@ def _counted(texts: DataFrame, keys: Callable, names: tuple[str, ...] = ("key",)
     return rows.groupBy("key").agg(*(F.first(c).alias(c) for c in names[1:]), F.sum("n").alias("n"))
 
 
+def _repeated(texts: DataFrame, keys: Callable, label: str) -> DataFrame:
+    """(key, h, l, n) of the n-grams seen ``LEAST`` times or more.
+
+    Most n-grams of a corpus are seen once. So a first count moves nothing but codes, its survivors fill a
+    sieve, and only what passes it is counted once more with the codes of its parts.
+    """
+    often = sieve(_counted(texts, lambda *block: keys(*block)[:1]).where(F.col("n") >= LEAST), "key", SIEVE)
+    often = texts.sparkSession.sparkContext.broadcast(often)
+
+    def passing(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        found = keys(codes, first)
+        ok = passes(often.value, found[0])
+        return tuple(x[ok] for x in found)
+
+    return stored(_counted(texts, passing, ("key", "h", "l")).where(F.col("n") >= LEAST), label)
+
+
 def _arcs(counts: DataFrame, below: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     """(key, h, l, n, p, lp) with the probability of each arc and that of its shorter history, and (h, fail) of the histories.
 
     ``h`` is the code of an n-gram without its last word, ``l`` that without its first; ``below`` has (key, n, p) of both.
+    The written ``counts`` are used up.
     """
     rows = counts.join(below.select(F.col("key").alias("h"), F.col("n").alias("hn")), "h")
-    rows = rows.select("key", "h", "l", "n", ((F.col("n") - DISCOUNT) / F.col("hn")).alias("p"))
-    rows = stored(rows, label).join(below.select(F.col("key").alias("l"), F.col("p").alias("lp")), "l")
+    half = stored(rows.select("key", "h", "l", "n", ((F.col("n") - DISCOUNT) / F.col("hn")).alias("p")), label)
+    discard(counts)
+    rows = half.join(below.select(F.col("key").alias("l"), F.col("p").alias("lp")), "l")
     rows = stored(rows.select("key", "h", "l", "n", "p", "lp"), label)
+    discard(half)
     least = lambda c: F.greatest(1 - F.sum(c), F.lit(1e-12))
     return rows, stored(rows.groupBy("h").agg((F.log10(least("p")) - F.log10(least("lp"))).alias("fail")), "failure")
 
@@ -148,8 +168,7 @@ def learn(texts: DataFrame) -> Tables:
         key, before = pair_codes(codes)
         return key, before, codes
 
-    seen = stored(_counted(texts, pairs, ("key", "h", "l")).where(F.col("n") >= LEAST), "pairs")
-    two, fail_one = _arcs(seen, counts.withColumn("p", (F.col("n") + 1) / size), "pairs")
+    two, fail_one = _arcs(_repeated(texts, pairs, "pairs"), counts.withColumn("p", (F.col("n") + 1) / size), "pairs")
     known = spark.sparkContext.broadcast(sieve(two, "key", SIEVE))
 
     def triples(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -159,14 +178,14 @@ def learn(texts: DataFrame) -> Tables:
         ok = ok[at] & ok[at - 1]
         return key[ok], pair[at - 1][ok], pair[at][ok]
 
-    seen = stored(_counted(texts, triples, ("key", "h", "l")).where(F.col("n") >= LEAST), "triples")
-    three, fail_two = _arcs(seen, two, "triples")
+    three, fail_two = _arcs(_repeated(texts, triples, "triples"), two, "triples")
     none = F.coalesce("fail", F.lit(0.0))
     over = (F.log10("p") - F.log10("lp") - F.col("fail")).alias("gain")
     own = two.join(fail_one, "h").select("key", "n", over)
     own = own.join(fail_two.withColumnRenamed("h", "key"), "key", "left").select("key", "n", (F.col("gain") + none).alias("gain"))
     gains = stored(own.unionByName(three.join(fail_two, "h").select("key", "n", over)), "gains")
     words = stored(counts.join(fail_one.withColumnRenamed("h", "key"), "key", "left").select("key", "n", none.alias("fail")), "words")
+    discard(counts, fail_one, three, fail_two)
     return Tables(total["n"], total["v"], words, two, gains)
 
 

@@ -11,8 +11,10 @@ Vectors are cut into blocks of bounded size, queries likewise; every query block
 (a stated query set against all rows), and each meeting returns k rows per query, merged by query. All rows
 are indexed, none is sampled, and copies are found in their blocks like all others.
 
-Vectors that are null or empty, zero, of another length than most, or that hold null or non-finite
-components take no part. A query never finds its own row; other rows with its id or its vector count.
+Vectors that are null or empty, zero, or that hold null or non-finite components take no part, nor do rows
+without an id, which no result could name. A distance needs equal lengths, so vectors of each length are
+searched among their own, in blocks of their own. A query never finds its own row; other rows with its id or
+its vector count.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from tilewright.llm.shared import stored
 
 BLOCK_ROWS = 8192
 QUERY_ROWS = 2048
+MOST_TASKS = 20_000
 PROJECTIONS = 32
 THRESHOLD = 0.6
 FIRST_REACH = 0.5
@@ -109,7 +112,7 @@ def _gather(table: pa.Table) -> pa.Table:
     table = table.sort_by("row")
     vectors = np.stack(table.column("v").to_numpy()) if table.num_rows else np.zeros((0, 1))
     return pa.table({
-        "block": table.column("block").slice(0, 1), "n": pa.array([table.num_rows], pa.int32()), "rows": pa.array([table.column("row").to_numpy().tobytes()]),
+        "dims": table.column("dims").slice(0, 1), "block": table.column("block").slice(0, 1), "n": pa.array([table.num_rows], pa.int32()), "rows": pa.array([table.column("row").to_numpy().tobytes()]),
         "ids": pa.array([table.column("id").to_numpy().tobytes()]), "vectors": pa.array([vectors.astype(np.float64).tobytes()])})
 
 
@@ -120,17 +123,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "em
                           F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = stored(rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)), "vectors")
-    sizes = rows.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("bigint")).alias("q")).orderBy(F.desc("n"), "dims").first()
-    if sizes is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("v") == sizes["dims"])
-    n_blocks, n_asking = max(1, -(-sizes["n"] // block_rows)), max(1, -(-sizes["q"] // QUERY_ROWS))
-    kinds = "block int, n int, rows binary, ids binary, vectors binary"
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int")).select("block", "row", "id", "v").groupBy("block").applyInArrow(_gather, kinds)
-    asking = rows.where("asks").withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(n_asking)).cast("int")).select("block", "row", "id", "v").groupBy("block").applyInArrow(_gather, kinds)
-    asking = asking.select(F.col("block").alias("asking"), F.col("n").alias("q_n"), F.col("rows").alias("q_rows"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    meetings = blocks.withColumn("asking", F.explode(F.sequence(F.lit(0), F.lit(n_asking - 1)))).join(asking, "asking")
-    found = meetings.groupBy("block", "asking").applyInArrow(
+    count = lambda n, size: F.greatest(F.ceil(n / size), F.lit(1)).cast("int")
+    sizes = stored(rows.groupBy(F.size("v").alias("dims")).agg(
+        count(F.count("*"), block_rows).alias("n_blocks"), count(F.sum(F.col("asks").cast("bigint")), QUERY_ROWS).alias("n_asking")), "sizes")
+    tasks = sizes.agg(F.coalesce(F.sum(F.col("n_blocks").cast("bigint") * F.col("n_asking")), F.lit(1)).alias("n")).first()["n"]
+    rows = rows.withColumn("dims", F.size("v")).join(sizes, "dims")
+    kinds = "dims int, block int, n int, rows binary, ids binary, vectors binary"
+
+    def gathered(part: DataFrame, seed: int, number: str) -> DataFrame:
+        dealt = part.withColumn("block", F.pmod(F.xxhash64("row", F.lit(seed)), F.col(number)).cast("int"))
+        return dealt.select("dims", "block", "row", "id", "v").groupBy("dims", "block").applyInArrow(_gather, kinds)
+
+    blocks = gathered(rows, 0, "n_blocks").join(sizes, "dims").withColumn("asking", F.explode(F.sequence(F.lit(0), F.col("n_asking") - 1)))
+    asking = gathered(rows.where("asks"), 1, "n_asking").select(
+        "dims", F.col("block").alias("asking"), F.col("n").alias("q_n"), F.col("rows").alias("q_rows"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    # few bytes make a long meeting, so meetings are dealt to tasks by their number
+    meetings = blocks.join(asking, ["dims", "asking"]).repartition(min(tasks, MOST_TASKS), "dims", "block", "asking")
+    found = meetings.groupBy("dims", "block", "asking").applyInArrow(
         _meet(k, projections, threshold, safe), "query_row long, query_id long, vec_id long, score double")
     best = found.groupBy("query_row", "query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).alias("rank"), "b.vec_id", "b.score")

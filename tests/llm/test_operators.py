@@ -368,6 +368,23 @@ def test_quality_of_odd_rows(spark, docs, rows):
     assert quality.scored(empty(spark), model).count() == 0
 
 
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from tilewright.llm import shared
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        names = set()
+        while found.hasNext():
+            names.add(found.next().getName())
+        return {x for x in names if x.startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(shared.FILE_CLEANUP, None)
+    got = shared.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert not files() - before
+    assert spark.conf.get(shared.FILE_CLEANUP, None) == setting
+    assert {r["k"]: r["count"] for r in got.collect()} == {k: len(range(k, 1000, 7)) for k in range(7)}
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(3)
     points = [(i, rng.normal(size=8).tolist()) for i in range(600)]

@@ -130,15 +130,18 @@ def _repeated(texts: DataFrame, keys: Callable, label: str) -> DataFrame:
     Most n-grams of a corpus are seen once. So a first count moves nothing but codes, its survivors fill a
     sieve, and only what passes it is counted once more with the codes of its parts.
     """
-    often = sieve(_counted(texts, lambda *block: keys(*block)[:1]).where(F.col("n") >= LEAST), "key", SIEVE)
-    often = texts.sparkSession.sparkContext.broadcast(often)
+    codes_only = stored(_counted(texts, lambda *block: keys(*block)[:1]).where(F.col("n") >= LEAST).select("key"), "often")
+    often = texts.sparkSession.sparkContext.broadcast(sieve(codes_only, "key", SIEVE))
+    discard(codes_only)
 
     def passing(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
         found = keys(codes, first)
         ok = passes(often.value, found[0])
         return tuple(x[ok] for x in found)
 
-    return stored(_counted(texts, passing, ("key", "h", "l")).where(F.col("n") >= LEAST), label)
+    rows = stored(_counted(texts, passing, ("key", "h", "l")).where(F.col("n") >= LEAST), label)
+    often.destroy()
+    return rows
 
 
 def _arcs(counts: DataFrame, below: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:

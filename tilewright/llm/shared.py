@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tilewright.session import scratch_path
 
 SIEVE_BITS = 1 << 24
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Where the written tables of this process lie, while someone holds them.
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -29,10 +30,18 @@ def unused(name: str, columns: Iterable[str]) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends, a lost executor loses nothing."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder and read again: lineage ends, a lost executor loses nothing.
+
+    The shuffle files of the write are of no more use once the table stands, so Spark is told to remove them then.
+    """
+    spark = df.sparkSession
+    path, before = scratch_path(spark, label), spark.conf.get(FILE_CLEANUP, None)
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(FILE_CLEANUP) if before is None else spark.conf.set(FILE_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
 

@@ -6,7 +6,7 @@ from tilewright.catalog.registry import query
 from tilewright.catalog.sqltext import geohash
 from tilewright.functions import cells
 from tilewright.functions.predicates import in_bound
-from tilewright.operators import refine
+from tilewright.operators import crossing, lines, refine
 from tilewright.sources.derived import BOUND, HOT_POINTS, POINTS, POLYGONS
 
 W, S, E, N = BOUND
@@ -210,7 +210,7 @@ def a5(spark, sf):
 
 def polygons(spark, sf):
     ring = F.array(*[F.struct(F.col(f"px{k}").alias("x"), F.col(f"py{k}").alias("y")) for k in range(4)])
-    return refine.with_edges(POLYGONS.frame(spark, sf).withColumn("ring", ring))
+    return crossing.edges_of(POLYGONS.frame(spark, sf).withColumn("ring", ring), "id")
 
 
 # a quadrilateral meets a box: an edge passes the slab test or a corner of the box is inside
@@ -253,14 +253,14 @@ def crossing_sql(level: int) -> str:
 
 @query("J2_crossing_count", crossing_sql(5))
 def j2(spark, sf):
-    pairs = refine.crossing_pairs(polygons(spark, sf).select("edges"), 5, BOUND)
+    pairs = crossing.members(polygons(spark, sf), 5, BOUND)
     return (pairs.groupBy("gx", "gy").agg(F.count("*").alias("n"))
             .select(cells.code_to_hash(cells.pack(F.col("gx"), F.col("gy")), 5).alias("geohash"), "n"))
 
 
 @query("A3_road_split_decision", f"SELECT geohash, n, n > 50 AS need_refine FROM ({crossing_sql(4)})")
 def a3(spark, sf):
-    pairs = refine.crossing_pairs(polygons(spark, sf).select("edges"), 4, BOUND)
+    pairs = crossing.members(polygons(spark, sf), 4, BOUND)
     return (pairs.groupBy("gx", "gy").agg(F.count("*").alias("n"))
             .select(cells.code_to_hash(cells.pack(F.col("gx"), F.col("gy")), 4).alias("geohash"), "n",
                     ((F.col("n") > 50) & F.lit(4 < cells.MAX_LEVEL)).alias("need_refine")))
@@ -277,5 +277,5 @@ def crossing_tree_sql(threshold: int) -> str:
 
 @query("P3_refine_crossing", crossing_tree_sql(20))
 def p3(spark, sf):
-    tree = refine.refine_crossing(polygons(spark, sf), BOUND, threshold=20, max_level=7)
+    tree = crossing.refine(polygons(spark, sf), BOUND, threshold=20, max_level=7)
     return refine.describe_cells(tree).where("total_count > 0").select("level", "geohash", "total_count", "refined")

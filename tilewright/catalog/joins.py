@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from tilewright.catalog.layers import PG
 from tilewright.catalog.lines import SEG, rd, seg
-from tilewright.catalog.partition import BOUND
+from tilewright.catalog.partition import BOUND, slab_sql
 from tilewright.catalog.registry import query
 from tilewright.catalog.sqltext import geohash, r
 from tilewright.functions import cells
-from tilewright.operators import chains as ch, drape as dr, lines as ln, nearest as nr, pyramid as py
+from tilewright.operators import chains as ch, crossing, drape as dr, lines as ln, nearest as nr, pyramid as py, refine
 from tilewright.operators.boxes import overlapping
 from tilewright.sources.derived import GEO_LINE_VERTICES, LINE_VERTICES, POINTS, POLYGONS, TRIANGLES
 
@@ -94,6 +94,38 @@ def j3(spark, sf):
     return near.groupBy("gx", "gy").agg(F.count("*").alias("n")).select(cells.code_to_hash(cells.pack(c("gx"), c("gy")), 7).alias("geohash"), "n")
 
 
+def padded_tree_sql(threshold: int, metres: float) -> str:
+    """Levels 3 to 11: every (segment, child) pair whose widened boxes meet, then the distance in metres."""
+    grid = {k: (1 << (5 * k + 1) // 2, 1 << 5 * k // 2) for k in range(3, 12)}
+    clip = lambda v, low, high: f"least(greatest({v}, {low}), {high})"
+    steps = [f"t3 AS (SELECT *, unnest(generate_series(CAST(floor((least(x1, x2) - 1e-4 + 180) / 360 * {grid[3][0]}) AS BIGINT), CAST(floor((greatest(x1, x2) + 1e-4 + 180) / 360 * {grid[3][0]}) AS BIGINT))) AS qx FROM seg)",
+             f"p3 AS MATERIALIZED (SELECT *, unnest(generate_series(CAST(floor((least(y1, y2) - 1e-4 + 90) / 180 * {grid[3][1]}) AS BIGINT), CAST(floor((greatest(y1, y2) + 1e-4 + 90) / 180 * {grid[3][1]}) AS BIGINT))) AS qy FROM t3)"]
+    parts = []
+    for k in range(3, 12):
+        nx, ny = grid[k]
+        if k > 3:
+            mx, my = nx // grid[k - 1][0], ny // grid[k - 1][1]
+            steps.append(f"p{k} AS MATERIALIZED (SELECT * FROM (SELECT line_id, x1, y1, x2, y2, p.qx * {mx} + a.i AS qx, p.qy * {my} + b.i AS qy FROM p{k - 1} p JOIN c{k - 1} c ON p.qx = c.qx AND p.qy = c.qy AND c.n > {threshold}, "
+                         f"range({mx}) a(i), range({my}) b(i)) WHERE CAST(qx AS DOUBLE) / {nx} * 360 - 180 <= greatest(x1, x2) + 1.2e-5 AND CAST(qx + 1 AS DOUBLE) / {nx} * 360 - 180 >= least(x1, x2) - 1.2e-5 "
+                         f"AND CAST(qy AS DOUBLE) / {ny} * 180 - 90 <= greatest(y1, y2) + 1.2e-5 AND CAST(qy + 1 AS DOUBLE) / {ny} * 180 - 90 >= least(y1, y2) - 1.2e-5)")
+        steps.append(f"""c{k} AS MATERIALIZED (SELECT qx, qy, count(DISTINCT line_id) AS n FROM (SELECT *, (ce - cw) * mx AS cwid, (cn - cs) * my AS chei, (x1 - cw) * mx AS ux1, (x2 - cw) * mx AS ux2, (y1 - cs) * my AS uy1, (y2 - cs) * my AS uy2
+            FROM (SELECT *, pi() / 180 * {RR} / sqrt(bend) * cos(lat) AS mx, pi() / 180 * {RR} * (1 - 0.00669437999014::DOUBLE) / (bend * sqrt(bend)) AS my
+            FROM (SELECT *, 1 - 0.00669437999014::DOUBLE * sin(lat) * sin(lat) AS bend FROM (SELECT *, radians({clip('(y1 + y2) / 2', 'cs', 'cn')}) AS lat
+            FROM (SELECT *, CAST(qx AS DOUBLE) / {nx} * 360 - 180 AS cw, CAST(qy AS DOUBLE) / {ny} * 180 - 90 AS cs, CAST(qx + 1 AS DOUBLE) / {nx} * 360 - 180 AS ce, CAST(qy + 1 AS DOUBLE) / {ny} * 180 - 90 AS cn FROM p{k})))))
+            WHERE {slab_sql('cw', 'cs', 'ce', 'cn')} OR {seg_box_sql()} <= {metres} GROUP BY qx, qy)""")
+        lng, lat = (f"((CAST({q} AS DOUBLE) + 0.5) / {n} * {span} - {low})" for q, n, span, low in (("qx", nx, 360, 180), ("qy", ny, 180, 90)))
+        parts.append(f"SELECT CAST({k} AS INTEGER) AS level, {geohash(lng, lat, k)} AS geohash, n AS total_count, {f'n > {threshold}' if k < 11 else 'false'} AS refined FROM c{k}")
+    return f"WITH {GSEG}, {', '.join(steps)} {' UNION ALL '.join(parts)}"
+
+
+@query("P3_refine_padded", padded_tree_sql(2, 0.5))
+def p3_padded(spark, sf):
+    g = GEO_LINE_VERTICES.frame(spark, sf).withColumnsRenamed({"lng": "x", "lat": "y"})
+    edges = ln.segments_of(g).select(c("line_id").alias("feature"), "x1", "y1", "x2", "y2")
+    tree = crossing.refine(edges, BOUND, threshold=2, closed=False, metres=crossing.swept_reach())
+    return refine.describe_cells(tree).where("total_count > 0").select("level", "geohash", "total_count", "refined")
+
+
 SURF = f"SELECT road_id, tri_id AS surface_id, (x1 + x2 + x3) / 3 AS sx, (y1 + y2 + y3) / 3 AS sy, (z1 + z2 + z3) / 3 AS sz FROM ({T})"
 DV = "line_id * 100 + i AS pid, line_id AS road_id, x AS px, y AS py, z + CAST(10 AS DOUBLE) + CAST(i % 3 AS DOUBLE) * CAST(0.4 AS DOUBLE) AS pz"
 

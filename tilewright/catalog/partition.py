@@ -6,7 +6,7 @@ from tilewright.catalog.registry import query
 from tilewright.catalog.sqltext import geohash
 from tilewright.functions import cells
 from tilewright.functions.predicates import in_bound
-from tilewright.operators import crossing, lines, refine
+from tilewright.operators import crossing, refine
 from tilewright.sources.derived import BOUND, HOT_POINTS, POINTS, POLYGONS
 
 W, S, E, N = BOUND

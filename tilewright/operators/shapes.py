@@ -16,7 +16,7 @@ SLICES, MIN_VERTICES, WIDTH_TOLERANCE, HEIGHT_TOLERANCE = 32, 3, 0.25, 0.25
 
 
 def with_extents(vertices: DataFrame, key: str = "model_id") -> DataFrame:
-    return vertices.join(model_extents(vertices, [key]), key)
+    return vertices.hint("merge").join(model_extents(vertices, [key]), key)
 
 
 def slice_stats(vertices: DataFrame, key: str = "model_id", slices: int = SLICES, least: int = MIN_VERTICES) -> DataFrame:
@@ -107,7 +107,7 @@ def gap_clusters(vertices: DataFrame, key: str = "model_id", axis: str = "x", co
     """
     ext = vertices.groupBy(key).agg(F.min(axis).alias("_lo"), F.max(axis).alias("_hi"))
     limit = F.lit(configured) if configured > 0 else F.greatest((F.col("_hi") - F.col("_lo")) * share, F.lit(floor))
-    rows = vertices.join(ext.withColumn("_gap", limit), key).withColumn("_b", F.floor((F.col(axis) - F.col("_lo")) / (F.col("_gap") / 2)))
+    rows = vertices.hint("merge").join(ext.withColumn("_gap", limit), key).withColumn("_b", F.floor((F.col(axis) - F.col("_lo")) / (F.col("_gap") / 2)))
     other = [a for a in "xyz" if a != axis]
     buckets = rows.groupBy(key, "_b").agg(F.min(axis).alias("lo"), F.max(axis).alias("hi"), F.first("_gap").alias("_gap"), F.count("*").alias("n"),
                                           *[fn(a).alias(f"{p}{a}") for a in other for p, fn in (("lo_", F.min), ("hi_", F.max))])
@@ -124,7 +124,7 @@ def weld(vertices: DataFrame, key: str, order: str, eps: float = 0.001) -> DataF
     keyed = vertices.select("*", *grid)
     firsts = keyed.groupBy(key, "_x", "_y", "_z").agg(F.min(order).alias("first_at"))
     ids = ranked(firsts, [key], ["first_at"], "weld_id").withColumn("weld_id", F.col("weld_id") - 1)
-    return keyed.join(ids, [key, "_x", "_y", "_z"]).drop("_x", "_y", "_z")
+    return keyed.hint("merge").join(ids, [key, "_x", "_y", "_z"]).drop("_x", "_y", "_z")
 
 
 def cross_sections(edges: DataFrame, axes: DataFrame, key: str = "id") -> DataFrame:
@@ -135,7 +135,7 @@ def cross_sections(edges: DataFrame, axes: DataFrame, key: str = "id") -> DataFr
     nearest hit on either side of the axis gives the middle, or the outermost two where one side
     has none.
     """
-    rows = edges.join(axes, key)
+    rows = edges.hint("merge").join(axes, key)
     co, si = F.cos("angle"), F.sin("angle")
     u = lambda x, y: (F.col(x) - F.col("cx")) * co + (F.col(y) - F.col("cy")) * si
     v = lambda x, y: -(F.col(x) - F.col("cx")) * si + (F.col(y) - F.col("cy")) * co
@@ -211,11 +211,11 @@ def solve_registration(pairs: DataFrame, key: str = "grp") -> tuple[DataFrame, D
            [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]]
     shift = [F.col(f"ct{a}") - sum((rot[i][j] * F.col(f"cm{b}") for j, b in enumerate("yz", 1)), rot[i][0] * F.col("cmx")) for i, a in enumerate("xyz")]
     out = solved.select(key, "n", "qx", "qy", "qz", "qw", *[rot[i][j].alias(f"r{i}{j}") for i in range(3) for j in range(3)], *[s.alias(f"d{a}") for a, s in zip("xyz", shift)])
-    moved = pairs.join(out.drop("n"), key)
+    moved = pairs.hint("merge").join(out.drop("n"), key)
     err = [F.col(f"r{i}0") * F.col("mx") + F.col(f"r{i}1") * F.col("my") + F.col(f"r{i}2") * F.col("mz") + F.col(f"d{a}") - F.col(f"t{a}") for i, a in enumerate("xyz")]
     residuals = moved.withColumn("residual", F.sqrt(err[0] * err[0] + err[1] * err[1] + err[2] * err[2])).select(*pairs.columns, "residual")
     quality = residuals.groupBy(key).agg(F.sqrt(F.avg(F.col("residual") * F.col("residual"))).alias("rms"), F.max("residual").alias("worst"))
-    return out.join(quality, key), residuals
+    return out.hint("merge").join(quality, key), residuals
 
 
 def one_to_one(pairs: DataFrame, left: str, right: str) -> DataFrame:
@@ -231,4 +231,4 @@ def dedupe_content(assets: DataFrame, content: str, order: str, keys: Sequence[s
     """First occurrence of each content by hash; later ones point to it."""
     hashed = assets.withColumn("sha", F.sha2(F.col(content).cast("binary"), 256))
     firsts = hashed.groupBy("sha").agg(F.min(order).alias("first_at"), F.count("*").alias("copies"))
-    return hashed.join(firsts, "sha").select(*keys, order, "sha", "copies", "first_at", F.when(F.col(order) == F.col("first_at"), "written").otherwise("duplicate").alias("status"))
+    return hashed.hint("merge").join(firsts, "sha").select(*keys, order, "sha", "copies", "first_at", F.when(F.col(order) == F.col("first_at"), "written").otherwise("duplicate").alias("status"))

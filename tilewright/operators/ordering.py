@@ -30,7 +30,7 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str =
     for k in [*keys, "_part"]:
         test = local[k].eqNullSafe(before[k])
         on = test if on is None else on & test
-    joined = local.join(before, on)
+    joined = local.hint("merge").join(before, on)
     return joined.select(*[local[c] for c in df.columns], (local[out] + F.col("_shift")).alias(out))
 
 

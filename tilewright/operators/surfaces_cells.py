@@ -54,7 +54,7 @@ def cell_owner(points: DataFrame, boxes: DataFrame, key: str, size: float) -> Da
     spread = boxes.withColumn("_c", F.explode(grid_cells(F.col("bw") - EDGE_TOLERANCE, F.col("bs") - EDGE_TOLERANCE,
                                                          F.col("be") + EDGE_TOLERANCE, F.col("bn") + EDGE_TOLERANCE, size)))
     probe = points.withColumns({"_gx": F.floor(F.col("px") / size), "_gy": F.floor(F.col("py") / size)})
-    met = probe.join(spread, (F.col("_c.gx") == F.col("_gx")) & (F.col("_c.gy") == F.col("_gy")))
+    met = probe.hint("merge").join(spread, (F.col("_c.gx") == F.col("_gx")) & (F.col("_c.gy") == F.col("_gy")))
     t = EDGE_TOLERANCE
     inside = (F.col("px") >= F.col("bw") - t) & (F.col("px") <= F.col("be") + t) & (F.col("py") >= F.col("bs") - t) & (F.col("py") <= F.col("bn") + t)
     return met.where(inside).groupBy(key).agg(F.min("cell").alias("owner"))
@@ -66,7 +66,7 @@ def plausible_centrelines(triangles: DataFrame, vertices: DataFrame, margin: flo
         F.min(F.least("x1", "x2", "x3")).alias("w"), F.max(F.greatest("x1", "x2", "x3")).alias("e"),
         F.min(F.least("y1", "y2", "y3")).alias("s"), F.max(F.greatest("y1", "y2", "y3")).alias("n"))
     inside = (F.col("x") >= F.col("w") - margin) & (F.col("x") <= F.col("e") + margin) & (F.col("y") >= F.col("s") - margin) & (F.col("y") <= F.col("n") + margin)
-    return vertices.join(box, "road_id").groupBy("road_id").agg((F.sum(inside.cast("bigint")) >= 2).alias("plausible"))
+    return vertices.hint("merge").join(box, "road_id").groupBy("road_id").agg((F.sum(inside.cast("bigint")) >= 2).alias("plausible"))
 
 
 def _clip_half(polygon: Column, axis: str, limit: Column, keep_above: bool) -> Column:
@@ -90,16 +90,19 @@ def _clip_half(polygon: Column, axis: str, limit: Column, keep_above: bool) -> C
 
 def slice_triangles(triangles: DataFrame, size: float, keys: Sequence[str] = ("road_id", "tri_id")) -> DataFrame:
     """Triangles cut along a square grid: (keys, gx, gy, polygon, area); attributes are interpolated, area is kept."""
-    items = F.array(*[F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"), F.col(f"z{k}").alias("z")) for k in (1, 2, 3)])
-    rows = triangles.select(*keys, items.alias("poly"), F.explode(grid_cells(
-        F.least("x1", "x2", "x3"), F.least("y1", "y2", "y3"), F.greatest("x1", "x2", "x3"), F.greatest("y1", "y2", "y3"), size)).alias("c"))
+    corners = F.array(*[F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"), F.col(f"z{k}").alias("z")) for k in (1, 2, 3)])
+    low, high = ({a: fn(*[f"{a}{k}" for k in (1, 2, 3)]) for a in "xy"} for fn in (F.least, F.greatest))
+    rows = triangles.select(*keys, *[f"{a}{k}" for a in "xyz" for k in (1, 2, 3)], F.explode(grid_cells(low["x"], low["y"], high["x"], high["y"], size)).alias("c"))
+    poly, whole = corners, F.lit(True)
     for axis, g in (("x", "gx"), ("y", "gy")):
-        for above in (True, False):
-            edge = (F.col(f"c.{g}") + (0 if above else 1)) * size
-            rows = rows.withColumn("poly", _clip_half(F.col("poly"), axis, edge, above))
+        first, last = F.col(f"c.{g}") * size, (F.col(f"c.{g}") + 1) * size
+        poly = _clip_half(_clip_half(poly, axis, first, True), axis, last, False)
+        whole = whole & (low[axis] >= first) & (high[axis] <= last)
+    # a triangle wholly in its cell needs no cut; the generator keeps later filters from working the cuts out again
+    kept = F.filter(F.array(F.when(whole, corners).otherwise(poly)), lambda p: F.size(p) >= 3)
     from tilewright.operators.surfaces import ring_area
 
-    return rows.where(F.size("poly") >= 3).withColumn("area", F.abs(ring_area(F.col("poly")))).where("area > 0").select(
+    return rows.select(*keys, "c", F.explode(kept).alias("poly")).withColumn("area", F.abs(ring_area(F.col("poly")))).where("area > 0").select(
         *keys, F.col("c.gx").alias("gx"), F.col("c.gy").alias("gy"), "poly", "area")
 
 
@@ -112,6 +115,6 @@ def fan(slices: DataFrame, keys: Sequence[str]) -> DataFrame:
 def conservation(source: DataFrame, slices: DataFrame, key: str, tolerance: float = 1e-5) -> DataFrame:
     """Per source feature: area before and after slicing, whether it is kept, and whether it was split."""
     after = slices.groupBy(key).agg(F.sum("area").alias("sliced"), F.count_distinct(F.struct("gx", "gy")).alias("cells"))
-    return source.join(after, key, "left").select(
+    return source.hint("merge").join(after, key, "left").select(
         key, "area", F.coalesce("sliced", F.lit(0.0)).alias("sliced"), (F.abs(F.coalesce("sliced", F.lit(0.0)) - F.col("area")) <= F.col("area") * tolerance).alias("kept"),
         (F.coalesce("cells", F.lit(0)) > 1).alias("split"))

@@ -62,7 +62,7 @@ def principal_axis(points: DataFrame, keys: Sequence[str]) -> DataFrame:
                                   F.covar_pop("x", "y").alias("vxy"))
     axis = m.withColumn("angle", F.atan2(F.col("vxy") * 2, F.col("vx") - F.col("vy")) * 0.5)
     co, si = F.cos("angle"), F.sin("angle")
-    rows = points.join(axis.select(*keys, "angle"), list(keys)).withColumns(
+    rows = points.hint("merge").join(axis.select(*keys, "angle"), list(keys)).withColumns(
         {"u": F.col("x") * co + F.col("y") * si, "v": -F.col("x") * si + F.col("y") * co})
     spans = rows.groupBy(*keys).agg(F.first("angle").alias("angle"), *[fn(a).alias(f"{p}{a}") for a in "uv" for p, fn in (("lo_", F.min), ("hi_", F.max))])
     cu, cv = (F.col("lo_u") + F.col("hi_u")) / 2, (F.col("lo_v") + F.col("hi_v")) / 2

@@ -27,9 +27,9 @@ def run_available(stream: DataFrame, path: str, mode: str = "append", each: Call
 
 
 def edit_feed(edits: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Edits without repeats, each marked as a change or a deletion."""
-    return edits.withWatermark("update_time", delay).dropDuplicates(["id", "update_time"]).select(
-        "id", "update_time", F.when(F.col("del_flag") == "1", "deleted").otherwise("changed").alias("feed"))
+    """Edits without repeats, each marked as a change or a deletion; a change and a deletion of one moment both stay."""
+    return edits.withWatermark("update_time", delay).select(
+        "id", "update_time", F.when(F.col("del_flag") == "1", "deleted").otherwise("changed").alias("feed")).dropDuplicates(["id", "update_time", "feed"])
 
 
 def dirty_windows(edits: DataFrame, cell: Column, width: str, delay: str = "10 minutes") -> DataFrame:

@@ -50,3 +50,22 @@ def test_padded_tree_reaches_as_far_as_its_lines(spark):
     assert crossing.extent(edges.limit(0)) == (0.0, 0.0, 0.0, 0.0)
     tree = crossing.refine(edges, bound, threshold=2, closed=False, metres=0.5, max_level=3)
     assert tree.agg(F.sum("total_count")).first()[0] == 2
+
+
+def logical(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["U2_changed_feed", "P8_dynamic_manifest"])
+def test_features_meet_all_kinds_of_edits_in_one_join(name, spark, sf_dir):
+    plan = logical(QUERIES[name](spark, sf_dir))
+    assert plan.count("Join Inner") == 1 and "strategy=merge" in plan
+
+
+def test_cells_are_kept_not_counted_again(spark, sf_dir):
+    assert "o_orderkey" not in logical(QUERIES["U4_stale_cells"](spark, sf_dir))
+
+
+def test_points_are_reduced_before_their_levels_are_made(spark, sf_dir):
+    plan = logical(QUERIES["A4_cells_in_bound"](spark, sf_dir))
+    assert "Aggregate" in plan[plan.index("Generate"):]

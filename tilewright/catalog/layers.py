@@ -287,12 +287,14 @@ def u2(spark, sf):
       AND (level < 5 OR substr(geohash, 1, 4) IN (SELECT geohash FROM g WHERE level = 4 AND n > 900))""")
 def u4(spark, sf):
     from tilewright.operators.snapshots import drop_below, drop_expired
-
-    code = cells.point_code(c("lng"), c("lat"), 6)
-    rows = F.array(*[F.struct(F.lit(k).alias("level"), cells.ancestor_code(code, 6, k).alias("cell")) for k in range(3, 7)])
-    tree = (POINTS.frame(spark, sf).select("update_time", F.explode(rows).alias("r")).groupBy("r.level", "r.cell")
-            .agg(F.max("update_time").alias("update_time"), F.count("*").alias("n")))
-    tree = refine.describe_cells(tree)
+    from tilewright.session import checkpoint
+
+    # points are counted once per finest cell, and the small table of cells is kept, as several steps read it
+    finest = POINTS.frame(spark, sf).groupBy(cells.point_code(c("lng"), c("lat"), 6).alias("code")).agg(F.max("update_time").alias("update_time"), F.count("*").alias("n"))
+    rows = F.array(*[F.struct(F.lit(k).alias("level"), cells.ancestor_code(c("code"), 6, k).alias("cell")) for k in range(3, 7)])
+    tree = (finest.select("update_time", "n", F.explode(rows).alias("r")).groupBy("r.level", "r.cell")
+            .agg(F.max("update_time").alias("update_time"), F.sum("n").alias("n")))
+    tree = checkpoint(refine.describe_cells(tree))
     newest = tree.agg(F.max("update_time").alias("top"))
     fresh = drop_expired(tree, newest, "900 DAYS").where("n >= 2")
     closed = tree.where("level = 4 AND n <= 900").select("geohash", "level")

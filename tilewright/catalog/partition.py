@@ -178,11 +178,10 @@ def in_box(b: dict) -> str:
     SELECT CAST(length(h) AS INTEGER) AS level, count(*) AS n, CAST(min(length(h)) OVER () AS INTEGER) AS min_level
     FROM b WHERE west <= 117.5 AND east >= 117.2 AND south <= 31.3 AND north >= 31.1 GROUP BY length(h)""")
 def a4(spark, sf):
-    p = POINTS.frame(spark, sf)
-    code = cells.point_code(F.col("lng"), F.col("lat"), 5)
-    tree = p.select(F.explode(F.array(
-        F.struct(F.lit(5).alias("level"), code.alias("cell")),
-        F.struct(F.lit(4).alias("level"), cells.ancestor_code(code, 5, 4).alias("cell")))).alias("t")).select("t.*").distinct()
+    finest = POINTS.frame(spark, sf).select(cells.point_code(F.col("lng"), F.col("lat"), 5).alias("code")).distinct()
+    tree = finest.select(F.explode(F.array(
+        F.struct(F.lit(5).alias("level"), F.col("code").alias("cell")),
+        F.struct(F.lit(4).alias("level"), cells.ancestor_code(F.col("code"), 5, 4).alias("cell")))).alias("t")).select("t.*").distinct()
     per = refine.cells_in_bound(refine.describe_cells(tree), (117.2, 31.1, 117.5, 31.3))
     low = per.agg(F.min("level").alias("min_level"), F.collect_list(F.struct("level", "n")).alias("per"))
     return low.select(F.inline("per"), "min_level")

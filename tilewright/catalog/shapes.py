@@ -6,6 +6,7 @@ from tilewright.catalog.layers import PG, quads
 from tilewright.catalog.lines import rd
 from tilewright.catalog.registry import query
 from tilewright.catalog.sqltext import r
+from tilewright.functions import geodesy as g
 from tilewright.functions.geodesy import ECC2
 from tilewright.operators import ordering as od, shapes as sh, surfaces as sf_, surfaces_cells as sc
 from tilewright.sources.derived import ASSETS, CONTROL_POINTS, EDITS, MODEL_VERTICES, POLYGONS, TRIANGLES
@@ -160,7 +161,7 @@ def c21(spark, sf):
     w, s, e, n = c("px0"), c("py0"), c("px2"), c("py2")
     big = F.array(pt(w, s), pt(w + (e - w) * 2, s), pt(w + (e - w) * 2, s + (n - s) * 2), pt(w, s + (n - s) * 2))
     top = sf_.largest_part(F.array(c("ring"), big))
-    first = F.filter("foot", lambda p: F.abs(p["y"] - F.array_min(F.transform("foot", lambda q: q["y"]))) < 1e-9)[0]["x"]
+    first = g.bind(F.array_min(F.transform("foot", lambda q: q["y"])), lambda low: F.filter("foot", lambda p: F.abs(p["y"] - low) < 1e-9)[0]["x"])
     return df.select("id", (F.round(sf_.ring_area(c("ring")) * 1e6, 3) + 0.0).alias("area"), (F.round("clng", 8) + 0.0).alias("clng"), (F.round("clat", 8) + 0.0).alias("clat"), "cz",
                      (F.round(sf_.ring_area(c("foot")), 2) + 0.0).alias("footprint"), (F.round(F.radians(c("px0") - c("clng")) * 0 + first, 3) + 0.0).alias("first_x"),
                      (F.round(sf_.ring_area(top) * 1e6, 2) + 0.0).alias("largest"))

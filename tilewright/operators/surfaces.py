@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.functions.geodesy import ECC2, SEMI_MAJOR
+from tilewright.functions.geodesy import ECC2, SEMI_MAJOR, bind
 
 
 def collection_context(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -30,9 +30,12 @@ def padded_box(points: DataFrame, keys: Sequence[str], constant: float, least: f
 
 def ring_area(ring: Column) -> Column:
     """Signed area of an array of (x, y) with the closing edge implied."""
-    after = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
-    terms = F.zip_with(ring, after, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
-    return F.aggregate(terms, F.lit(0.0), lambda acc, v: acc + v) / 2
+    def area(r: Column) -> Column:
+        after = F.concat(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1))
+        terms = F.zip_with(r, after, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+        return F.aggregate(terms, F.lit(0.0), lambda acc, v: acc + v) / 2
+
+    return bind(ring, area)
 
 
 def ring_box_centre(ring: Column) -> dict[str, Column]:
@@ -46,8 +49,9 @@ def local_footprint(ring: Column, lng: Column, lat: Column) -> Column:
     s2 = F.lit(1.0) - F.lit(ECC2) * F.sin(phi) * F.sin(phi)
     across = F.lit(SEMI_MAJOR) / F.sqrt(s2) * F.cos(phi)
     along = F.lit(SEMI_MAJOR * (1 - ECC2)) / F.pow(s2, 1.5)
-    made = F.transform(ring, lambda p: F.struct((F.radians(p["x"] - lng) * across).alias("x"), (F.radians(p["y"] - lat) * along).alias("y")))
-    return F.when(ring_area(made) < 0, F.reverse(made)).otherwise(made)
+    made = bind(F.struct(across.alias("across"), along.alias("along")), lambda m: F.transform(ring, lambda p: F.struct(
+        (F.radians(p["x"] - lng) * m["across"]).alias("x"), (F.radians(p["y"] - lat) * m["along"]).alias("y"))))
+    return bind(made, lambda r: F.when(ring_area(r) < 0, F.reverse(r)).otherwise(r))
 
 
 def largest_part(parts: Column) -> Column:

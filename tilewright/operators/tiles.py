@@ -68,8 +68,9 @@ def group_models(instances: DataFrame, keys: Sequence[str] = ("level", "cell", "
         F.min_by(F.struct("id", "lng", "lat", "alt"), F.col(order)).alias("first"))
 
 
-def leaf_extent(instances: DataFrame, keys: Sequence[str] = ("level", "cell")) -> DataFrame:
-    return instances.groupBy(*keys).agg(F.floor(F.min("alt")).alias("low"), F.ceil(F.max("alt")).alias("high"))
+def leaf_extent(instances: DataFrame, keys: Sequence[str] = ("level", "cell"), counted: bool = False) -> DataFrame:
+    counts = [F.count("*").alias("instances")] if counted else []
+    return instances.groupBy(*keys).agg(F.floor(F.min("alt")).alias("low"), F.ceil(F.max("alt")).alias("high"), *counts)
 
 
 def resolve_lods(groups: DataFrame, assets: DataFrame, levels: Sequence[LodLevel], keep: Sequence[str] = ()) -> DataFrame:

@@ -11,6 +11,7 @@ from tilewright.functions import cells, geodesy as g
 from tilewright.functions.predicates import Bound, in_bound, model_ok
 from tilewright.functions.text import fnv1a_hex, plain_number, to_fixed, versioned_uri
 from tilewright.operators import refine, tiles
+from tilewright.session import checkpoint
 
 
 @dataclass(frozen=True)
@@ -60,10 +61,9 @@ def pose_table(instances: DataFrame) -> DataFrame:
 
 
 def hierarchy_rows(leaves: DataFrame, instances: DataFrame, base: float) -> tuple[DataFrame, DataFrame]:
-    """Leaf rows with box, extent and counts, and the grouping nodes above them."""
-    extent = tiles.leaf_extent(instances)
-    counts = instances.groupBy("level", "cell").agg(F.count("*").alias("instances"))
-    rows = refine.describe_cells(leaves.join(extent, ["level", "cell"]).join(counts, ["level", "cell"]))
+    """Leaf rows with box, extent and counts, and the grouping nodes above them; the instances are read once."""
+    extent = tiles.leaf_extent(instances, counted=True)
+    rows = refine.describe_cells(checkpoint(leaves.hint("merge").join(extent, ["level", "cell"])))
     region = F.array(*g.bound_region(F.col("west"), F.col("south"), F.col("east"), F.col("north"), F.col("low").cast("double"), F.col("high").cast("double")))
     rows = rows.withColumn("region", region).withColumn("box", g.region_box(F.col("region"), tiles.LEAF_GROWTH))
     rows = rows.withColumn("error", F.lit(0.0))

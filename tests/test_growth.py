@@ -69,3 +69,27 @@ def test_cells_are_kept_not_counted_again(spark, sf_dir):
 def test_points_are_reduced_before_their_levels_are_made(spark, sf_dir):
     plan = logical(QUERIES["A4_cells_in_bound"](spark, sf_dir))
     assert "Aggregate" in plan[plan.index("Generate"):]
+
+
+def test_measures_of_pairs_are_short_enough_to_be_compiled(spark, sf_dir):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = QUERIES["W9_weighted_height"](spark, sf_dir)
+        text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(int(part.split(";")[0]) for part in text.split("maxMethodCodeSize:")[1:]) < 8000
+
+
+def test_instances_of_a_hierarchy_are_read_for_leaves_and_extents_alone(spark, sf_dir):
+    from tilewright.catalog import tiles
+
+    rows, nodes = tiles.leaf_boxes(spark, sf_dir)
+    assert "o_orderkey" not in logical(rows) + logical(nodes)
+
+
+def test_a_ring_is_worked_out_once_for_its_area(spark):
+    from tilewright.operators.surfaces import ring_area
+
+    ring = F.transform(F.sequence(F.lit(0), F.col("id").cast("int") + 3), lambda k: F.struct(F.cos(k.cast("double")).alias("x"), F.sin(k.cast("double")).alias("y")))
+    assert logical(spark.range(1).select(ring_area(ring).alias("a"))).lower().count("sequence") == 1

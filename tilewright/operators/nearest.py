@@ -136,9 +136,9 @@ def _descend(probe: DataFrame, items: DataFrame, point_key: str, cell: float, st
     return opened.hint("merge").join(keyed, test).drop(*[keyed[c] for c in on])
 
 
-def within(points: DataFrame, items: DataFrame, distance: Column, reach: float, on: Sequence[str] = ()) -> DataFrame:
-    """Pairs of points and items closer than ``reach``, met in the point's own grid cell."""
-    size = reach * 4
+def within(points: DataFrame, items: DataFrame, distance: Column, reach: float, on: Sequence[str] = (), size: float | None = None) -> DataFrame:
+    """Pairs of points and items closer than ``reach``, met in the point's own grid cell, whose ``size`` does not change them."""
+    size = size or reach * 4
     spread = items.withColumn("_c", F.explode(grid_cells(F.col("bw") - reach, F.col("bs") - reach, F.col("be") + reach, F.col("bn") + reach, size)))
     probe = points.withColumns({"_gx": F.floor(F.col("px") / size), "_gy": F.floor(F.col("py") / size)})
     test = (F.col("_c.gx") == F.col("_gx")) & (F.col("_c.gy") == F.col("_gy"))

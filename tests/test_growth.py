@@ -93,3 +93,15 @@ def test_a_ring_is_worked_out_once_for_its_area(spark):
 
     ring = F.transform(F.sequence(F.lit(0), F.col("id").cast("int") + 3), lambda k: F.struct(F.cos(k.cast("double")).alias("x"), F.sin(k.cast("double")).alias("y")))
     assert logical(spark.range(1).select(ring_area(ring).alias("a"))).lower().count("sequence") == 1
+
+
+def test_assets_stay_where_they_are_beside_few_contents(spark, monkeypatch):
+    from tilewright.operators import shapes
+
+    assets = spark.range(1000).select(F.concat(F.lit("c"), (F.col("id") % 7).cast("string")).alias("content"), F.col("id").alias("ord"))
+    few = shapes.dedupe_content(assets, "content", "ord", [])
+    assert "SortMergeJoin" not in plan_of(few)
+    monkeypatch.setattr(shapes, "SMALL", 3)
+    many = shapes.dedupe_content(assets, "content", "ord", [])
+    assert "BroadcastHashJoin" not in plan_of(many)
+    assert sorted(few.collect()) == sorted(many.collect()) and few.where("status = 'written'").count() == 7

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from tilewright.operators import lines
 from tilewright.operators.ordering import ranked
 from tilewright.operators.tiles import model_extents
+from tilewright.session import checkpoint
 
 # Slices along the long axis, least vertices per slice, similarity of merged boxes, least thickness.
 SLICES, MIN_VERTICES, WIDTH_TOLERANCE, HEIGHT_TOLERANCE = 32, 3, 0.25, 0.25
+#: Distinct contents that are broadcast: about 5 MB.
+SMALL = 50_000
 
 
 def with_extents(vertices: DataFrame, key: str = "model_id") -> DataFrame:
@@ -228,7 +231,8 @@ def one_to_one(pairs: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def dedupe_content(assets: DataFrame, content: str, order: str, keys: Sequence[str]) -> DataFrame:
-    """First occurrence of each content by hash; later ones point to it."""
+    """First occurrence of each content by hash; later ones point to it. A counted small number of contents goes to where the assets are."""
     hashed = assets.withColumn("sha", F.sha2(F.col(content).cast("binary"), 256))
-    firsts = hashed.groupBy("sha").agg(F.min(order).alias("first_at"), F.count("*").alias("copies"))
-    return hashed.hint("merge").join(firsts, "sha").select(*keys, order, "sha", "copies", "first_at", F.when(F.col(order) == F.col("first_at"), "written").otherwise("duplicate").alias("status"))
+    firsts = checkpoint(hashed.groupBy("sha").agg(F.min(order).alias("first_at"), F.count("*").alias("copies")))
+    met = hashed.join(F.broadcast(firsts), "sha") if firsts.count() <= SMALL else hashed.hint("merge").join(firsts, "sha")
+    return met.select(*keys, order, "sha", "copies", "first_at", F.when(F.col(order) == F.col("first_at"), "written").otherwise("duplicate").alias("status"))

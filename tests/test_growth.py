@@ -107,6 +107,16 @@ def test_assets_stay_where_they_are_beside_few_contents(spark, monkeypatch):
     assert sorted(few.collect()) == sorted(many.collect()) and few.where("status = 'written'").count() == 7
 
 
+def test_codes_of_points_are_not_made_once_per_level(spark, sf_dir, monkeypatch):
+    from tilewright.operators import refine
+
+    seen = []
+    monkeypatch.setattr(refine, "checkpoint", lambda df: seen.append(logical(df)) or df.localCheckpoint())
+    QUERIES["P2_refine_points"](spark, sf_dir)
+    # rows per level come out of the counts; nothing is counted after them
+    assert seen[0].index("Generate") < seen[0].index("Aggregate")
+
+
 def test_tasks_grow_with_the_rows_they_multiply(spark, sf_dir, monkeypatch):
     from tilewright.sources import derived
 

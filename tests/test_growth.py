@@ -150,3 +150,21 @@ def test_corners_are_cut_in_one_go_across_chunks(spark, sf_dir):
         mine = [tuple(r[1:]) for r in got if r[0] == line]
         assert mine == [(i, *p) for i, p in enumerate(wanted)]
     assert "s_suppkey" not in logical(QUERIES["C18_corner_cutting"](spark, sf_dir))
+
+
+def test_surface_points_meet_vertices_narrow_and_in_bounded_tasks(spark, monkeypatch):
+    from tilewright.operators import drape
+
+    monkeypatch.setattr(drape, "MET", 1, raising=False)
+    place = lambda k, m: ((F.col("id") * k) % m).cast("double") / 3
+    vertices = spark.range(150).select(F.col("id").alias("pid"), F.when(F.col("id") % 7 != 3, F.col("id") % 3).alias("road_id"), (place(37, 150) - 20).alias("px"), place(11, 13).alias("py"), (F.col("id") % 4).cast("double").alias("pz"))
+    surface = spark.range(100).select(F.col("id").alias("surface_id"), (F.col("id") % 3).alias("road_id"), (place(53, 149) - 20).alias("sx"), place(7, 13).alias("sy"), (F.col("id") % 5 / 2).alias("sz"))
+    out = drape.drape_to_points(vertices, surface, "pid")
+    plan = logical(out)
+    assert "bw" not in plan and "RepartitionByExpression" in plan
+    faces = surface.collect()
+    for v in out.collect():
+        near = [(d, abs(s.sz - v.pz), s.surface_id, s.sz) for s in faces if s.road_id == v.road_id
+                and (d := ((s.sx - v.px) ** 2 + (s.sy - v.py) ** 2) ** 0.5) <= 2 and abs(s.sz - v.pz) <= 1]
+        assert v.z == (min(near)[3] if near else v.pz) + 0.02
+    assert out.count() == 150 and out.where("face IS NOT NULL").count() > 20

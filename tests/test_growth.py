@@ -168,3 +168,8 @@ def test_surface_points_meet_vertices_narrow_and_in_bounded_tasks(spark, monkeyp
                 and (d := ((s.sx - v.px) ** 2 + (s.sy - v.py) ** 2) ** 0.5) <= 2 and abs(s.sz - v.pz) <= 1]
         assert v.z == (min(near)[3] if near else v.pz) + 0.02
     assert out.count() == 150 and out.where("face IS NOT NULL").count() > 20
+
+
+@pytest.mark.parametrize("name, source", [("J5_nearest_line_measure", "o_orderkey"), ("J12_station_and_offset", "s_suppkey")])
+def test_points_do_not_meet_their_nearest_items_again(name, source, spark, sf_dir):
+    assert source not in logical(QUERIES[name](spark, sf_dir))

@@ -173,3 +173,17 @@ def test_surface_points_meet_vertices_narrow_and_in_bounded_tasks(spark, monkeyp
 @pytest.mark.parametrize("name, source", [("J5_nearest_line_measure", "o_orderkey"), ("J12_station_and_offset", "s_suppkey")])
 def test_points_do_not_meet_their_nearest_items_again(name, source, spark, sf_dir):
     assert source not in logical(QUERIES[name](spark, sf_dir))
+
+
+def test_pairs_of_near_copies_meet_in_the_longest_list_they_share():
+    import pyarrow as pa
+    from tilewright.llm import near_copies
+
+    lists = [(5, [1, 2]), (9, [1, 2, 3]), (7, [2, 3])]
+    members = pa.array([[{"sig": s, "n": 10} for s in sigs] for _, sigs in lists], pa.list_(pa.struct([("sig", pa.int64()), ("n", pa.int64())])))
+    batch = pa.record_batch({"value": pa.array([v for v, _ in lists], pa.int64()), "members": members})
+    homes = {}
+    for out in near_copies._pairer(near_copies.Rule())(iter([batch])):
+        for a, b, home in zip(*(out.column(c).to_pylist() for c in ("a", "b", "home"))):
+            homes[a, b] = min(home, homes.get((a, b), home))
+    assert sorted(homes) == [(1, 2), (1, 3), (2, 3)] and len(set(homes.values())) == 1

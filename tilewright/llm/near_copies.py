@@ -189,7 +189,8 @@ def _pairer(rule: Rule):
                 of = np.flatnonzero(sizes == size)
                 i, j = np.triu_indices(size, 1)
                 a, b = (start[of][:, None] + i).ravel(), (start[of][:, None] + j).ravel()
-                home = np.repeat(value[of], len(i))
+                # pairs meet in the longest list they share, so the pairs of a group have few homes; values have 52 bits
+                home = np.repeat(value[of] | ((SHORT_LIST - size) << 52), len(i))
                 fits = rule.den * np.minimum(n[a], n[b]) >= rule.num * np.maximum(n[a], n[b])
                 a, b, home = a[fits], b[fits], home[fits]
                 need = 1 + np.minimum(EXTRA, np.maximum(rule.dropped(n[a]), rule.dropped(n[b])))

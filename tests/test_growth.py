@@ -187,3 +187,13 @@ def test_pairs_of_near_copies_meet_in_the_longest_list_they_share():
         for a, b, home in zip(*(out.column(c).to_pylist() for c in ("a", "b", "home"))):
             homes[a, b] = min(home, homes.get((a, b), home))
     assert sorted(homes) == [(1, 2), (1, 3), (2, 3)] and len(set(homes.values())) == 1
+
+
+def test_parts_of_pairs_are_gone_when_texts_are_scored(spark, sf_dir):
+    import glob
+    from tilewright.session import shared_dir
+
+    kept = lambda: set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/pairs-*"))
+    before = kept()
+    QUERIES["op6_language_model"](spark, sf_dir)
+    assert kept() == before

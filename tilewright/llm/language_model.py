@@ -244,6 +244,7 @@ def scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     model = learn(rows.where(~F.col("held_out")).select("text"))
+    discard(model.pairs)  # scores need what the pairs gain, not their parts
     often, arc = F.col("n") >= WORD_SHARE * model.tokens, F.col("n") >= ARC_SHARE * model.tokens
     words, n, fails = _sorted(model.words.where(often).toArrow(), "n", "fail")
     shared = spark.sparkContext.broadcast((words, np.log10(n + 1.0), fails, *_sorted(model.gains.where(arc).toArrow(), "gain")))

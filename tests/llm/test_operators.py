@@ -90,6 +90,16 @@ def test_repeats_of_other_lengths(docs, rows, length):
     assert ordered((r.doc_id, r.n_removed) for r in repeats.remove_repeats(docs, length).collect()) == ordered(want)
 
 
+def test_sets_travel_in_the_bytes_their_steps_need():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 52, n, np.uint64)) for n in (1, 700, 2, 5000)] + [np.array([0, (1 << 52) - 1], np.uint64), np.array([0], np.uint64)]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    raw, cuts = near_copies.numbers_of(near_copies.packed_sets(np.concatenate(sets), bounds), np.uint8)
+    assert len(raw) < 0.8 * 8 * bounds[-1]
+    for k, own in enumerate(sets):
+        assert np.array_equal(near_copies.unpacked_set(raw[cuts[k]: cuts[k + 1]]), own)
+
+
 @pytest.mark.parametrize("rule", [near_copies.Rule(3, 85, 100), near_copies.Rule(5, 80, 100), near_copies.Rule(3, 85, 100, sketch=96)])
 def test_near_copies_are_the_components_of_all_pairs(docs, rows, rule):
     want = [(i, n, c, i == c) for (i, _), (n, c) in zip(rows, brute.near(rows, rule.words, rule.num, rule.den))]

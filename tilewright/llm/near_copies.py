@@ -152,6 +152,31 @@ def _passing(wanted):
     return keep
 
 
+def packed_sets(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Sorted sets as bytes: how many bytes a step takes, then the steps from each value to the next, the first from zero."""
+    sizes = np.diff(bounds)
+    steps = np.diff(values, prepend=np.uint64(0))
+    steps[bounds[:-1]] = values[bounds[:-1]]
+    widest = np.maximum.reduceat(steps, bounds[:-1])
+    width = 1 + sum((widest >> np.uint64(8 * k) > 0).astype(np.int64) for k in range(1, 8))
+    used = np.arange(8) < np.repeat(width, sizes)[:, None]
+    body = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[used]
+    ends = np.cumsum(1 + sizes * width)
+    out = np.empty(ends[-1], np.uint8)
+    heads = ends - (1 + sizes * width)
+    inner = np.ones(ends[-1], bool)
+    inner[heads] = False
+    out[heads], out[inner] = width, body
+    return split_binary(out, np.concatenate([np.zeros(1, np.int64), ends]))
+
+
+def unpacked_set(row: np.ndarray) -> np.ndarray:
+    """The inverse of ``packed_sets`` for one set."""
+    steps = np.zeros((len(row) // int(row[0]), 8), np.uint8)
+    steps[:, : row[0]] = row[1:].reshape(-1, row[0])
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
 def _setter(text: str, rule: Rule, wanted):
     """Full sets of the wanted signatures, once per task."""
 
@@ -168,8 +193,8 @@ def _setter(text: str, rule: Rule, wanted):
                 if mine:
                     rows, sizes = np.array(mine), np.diff(bounds)
                     take = np.isin(np.repeat(np.arange(block.size), sizes), rows)
-                    yield pa.record_batch({"sig": int64(sig[rows]), "shingles": split_binary(
-                        values[take], np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes[rows])]))})
+                    cuts = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes[rows])])
+                    yield pa.record_batch({"sig": int64(sig[rows]), "shingles": packed_sets(values[take], cuts)})
 
     return sets
 
@@ -281,7 +306,7 @@ def _linker(rule: Rule):
                 yield pa.record_batch({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
         for batch in batches:
-            values, bounds = numbers_of(batch.column("shingles"), np.uint64)
+            values, bounds = numbers_of(batch.column("shingles"), np.uint8)
             rows = zip(*(batch.column(c).to_pylist() for c in ("home", "i", "j", "own", "sig")))
             for r, (home, i, j, block, sig) in enumerate(rows):
                 if (home, i, j) != key:
@@ -290,7 +315,7 @@ def _linker(rule: Rule):
                     key, sigs, own, sets = (home, i, j), [], [], []
                 sigs.append(sig)
                 own.append(block)
-                sets.append(values[bounds[r]: bounds[r + 1]])
+                sets.append(unpacked_set(values[bounds[r]: bounds[r + 1]]))
         if key is not None:
             yield from close()
 
@@ -311,6 +336,7 @@ def _named(docs: DataFrame, rule: Rule, text: str, doc_id: str) -> tuple[DataFra
     texts = source.select("text")
     posts = texts.mapInArrow(_poster("text", rule, often), "value long, sig long, n long").groupBy("value", "sig").agg(F.first("n").alias("n"))
     posts = stored(posts, "posts")
+    often.destroy()
     # each list's size and a checksum of its members: lists with the same members need only one of them
     sizes = posts.groupBy("value").agg(
         F.count("*").alias("size"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.sum(F.shiftright(F.xxhash64("sig", F.lit(7)), 20)).alias("y")).where("size > 1")
@@ -320,6 +346,7 @@ def _named(docs: DataFrame, rule: Rule, text: str, doc_id: str) -> tuple[DataFra
     # most values are in one list only; the sieve keeps them from moving again
     shared = spark.sparkContext.broadcast(sieve(lists, "value", LIST_BITS))
     members = stored(posts.mapInArrow(_passing(shared), "value long, sig long, n long").join(lists, "value"), "members")
+    shared.destroy()
     discard(posts, sizes, lists)
 
     pairs = members.where(F.col("size") <= SHORT_LIST).groupBy("value").agg(
@@ -341,6 +368,7 @@ def _named(docs: DataFrame, rule: Rule, text: str, doc_id: str) -> tuple[DataFra
     met = cells.join(sets, "sig").select("home", "i", "j", "own", "sig", "shingles")
     links = met.repartition("home", "i", "j").sortWithinPartitions("home", "i", "j").mapInArrow(_linker(rule), "a long, b long")
     roots = components(links)
+    wanted.destroy()
     discard(cells)
 
     of = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("low")).join(roots, F.col("sig") == F.col("node"), "left").select(

@@ -172,7 +172,7 @@ def packed_sets(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 def unpacked_set(row: np.ndarray) -> np.ndarray:
     """The inverse of ``packed_sets`` for one set."""
-    steps = np.zeros((len(row) // int(row[0]), 8), np.uint8)
+    steps = np.zeros(((len(row) - 1) // int(row[0]), 8), np.uint8)
     steps[:, : row[0]] = row[1:].reshape(-1, row[0])
     return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 

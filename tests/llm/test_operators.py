@@ -425,3 +425,20 @@ def test_nearest_vectors(spark):
     few = nearest_vectors.nearest(frame.where("vec_id < 4"), F.col("vec_id") == 0).collect()
     assert [(r.rank, r.query_id) for r in sorted(few, key=lambda r: r.rank)] == [(1, 0), (2, 0), (3, 0)]
     assert nearest_vectors.nearest(frame.limit(0), F.lit(True)).count() == 0
+
+
+def test_ngrams_are_counted_over_tasks_batches_and_ranges(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "FLUSH", 7)
+    texts = [" ".join("abcdefg"[(i * k) % 7] for k in range(i % 11)) for i in range(40)] + ["x y"] * 3 + ["once only", "", "  "]
+    want = {}
+    for t in texts:
+        words = ["<end>", *t.split(), "<end>"]
+        for pair in zip(words, words[1:]):
+            want[pair] = want.get(pair, 0) + 1
+    pair_codes = language_model.pair_codes
+    pairs = lambda codes, first: (*pair_codes(codes), codes)
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    found = language_model._repeated(rows, pairs, "pairs", 100).collect()
+    assert sorted(r.n for r in found) == sorted(n for n in want.values() if n >= language_model.LEAST)
+    assert len({r.key for r in found}) == len({(r.h, r.l) for r in found}) == len(found)
+    assert language_model._repeated(rows.limit(0), pairs, "pairs", 0).count() == 0

@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm.shared import discard, passes, sieve, stored
-from tilewright.llm.text import Block, blocks, int64, mix
+from tilewright.llm.text import Block, blocks, int64, mix, numbers_of, split_binary
+from tilewright.session import tasks_for
 
 END = 0x5851F42D4C957F2D
 WORD_SHARE, ARC_SHARE = 1e-6, 2e-6
@@ -36,6 +37,7 @@ LEAST = 2
 SIEVE = 1 << 27
 DISCOUNT = 0.6
 FLUSH = 1 << 22
+HEAD = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "weight": pa.float64()}
 
 
 def tokens_of(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -93,22 +95,55 @@ class Tables:
     gains: DataFrame
 
 
-def _counter(keys: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]], names: tuple[str, ...]):
-    """Counts of keys per task, in batches of bounded size; what comes with a key follows from it."""
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words per task, in batches of bounded size."""
+    kept, size = [], 0
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flush() -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(kept), return_counts=True)
+        return pa.record_batch({"key": int64(key), "n": pa.array(n.astype(np.int64))})
+
+    for batch in batches:
+        for _, _, block in blocks(batch, "text", True):
+            kept.append(tokens_of(block)[0])
+            size += len(kept[-1])
+            if size >= FLUSH:
+                yield flush()
+                kept, size = [], 0
+    if size:
+        yield flush()
+
+
+def _ranges(key: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of ``parts`` equal ranges of codes begins in sorted codes, and where the last ends."""
+    edges = (np.arange(1, parts).astype(object) * (1 << 64) // parts).astype(np.uint64)
+    return np.concatenate([np.zeros(1, np.int64), np.searchsorted(key, edges), np.full(1, len(key), np.int64)])
+
+
+def _coder(keys: Callable, parts: int, names: tuple[str, ...] = ()):
+    """Per task, in batches of bounded size: sorted codes by part of their range, each as often as seen, up to ``LEAST`` times.
+
+    With ``names``, each once with what ``keys`` gives beside it and its count ``n``.
+    """
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
 
         def flush() -> pa.RecordBatch:
             found = [np.concatenate(x) for x in zip(*kept)]
-            key, at, n = np.unique(found[0], return_index=True, return_counts=True)
-            return pa.record_batch({**{c: int64(x[at]) for c, x in zip(names, found)}, "n": pa.array(n.astype(np.int64))})
+            order = np.argsort(found[0]) if names else None
+            key = np.sort(found[0]) if order is None else found[0][order]
+            at = np.flatnonzero(np.concatenate([np.ones(1, bool), key[1:] != key[:-1]]))
+            n = np.diff(at, append=len(key))
+            out = key[at] if names else np.repeat(key[at], np.minimum(n, LEAST))
+            cuts = _ranges(out, parts)
+            beside = {c: split_binary(x[order[at]], cuts) for c, x in zip(names, found[1:])} | ({"n": split_binary(n, cuts)} if names else {})
+            return pa.record_batch({"part": pa.array(np.arange(parts, dtype=np.int32)), "codes": split_binary(out, cuts), **beside})
 
         for batch in batches:
             for _, _, block in blocks(batch, "text", True):
                 codes, first = tokens_of(block)
                 found = keys(codes, first[:-1])
-                kept.append(found)
+                kept.append(found if names else found[:1])
                 size += len(found[0])
                 if size >= FLUSH:
                     yield flush()
@@ -116,21 +151,69 @@ def _counter(keys: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]], n
         if size:
             yield flush()
 
-    return count
+    return code
+
 
+def _seen_often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The codes that all batches of a part have ``LEAST`` times or more; rows come sorted by part."""
+    part, kept = None, []
+
+    def close() -> pa.RecordBatch:
+        key = np.sort(np.concatenate(kept))
+        return pa.record_batch({"key": int64(np.unique(key[LEAST - 1:][key[LEAST - 1:] == key[: len(key) - LEAST + 1]]))})
+
+    for batch in batches:
+        values, bounds = numbers_of(batch.column("codes"), np.uint64)
+        for r, own in enumerate(batch.column("part").to_pylist()):
+            if own != part and kept:
+                yield close()
+                kept = []
+            part = own
+            kept.append(values[bounds[r]: bounds[r + 1]])
+    if kept:
+        yield close()
+
+
+def _summed(names: tuple[str, ...]):
+    """(key, names, n) of the codes seen ``LEAST`` times or more over all batches of a part; rows come sorted by part."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, kept = None, []
+
+        def close() -> pa.RecordBatch:
+            key, *beside, n = (np.concatenate(x) for x in zip(*kept))
+            order = np.argsort(key, kind="stable")
+            key, n = key[order], n[order]
+            at = np.flatnonzero(np.concatenate([np.ones(1, bool), key[1:] != key[:-1]])[: len(key)])
+            n = np.add.reduceat(n, at) if len(at) else n
+            at, n = at[n >= LEAST], n[n >= LEAST]
+            return pa.record_batch({"key": int64(key[at]), **{c: int64(x[order[at]]) for c, x in zip(names, beside)}, "n": pa.array(n)})
+
+        for batch in batches:
+            columns = [numbers_of(batch.column(c), np.int64 if c == "n" else np.uint64) for c in ("codes", *names, "n")]
+            for r, own in enumerate(batch.column("part").to_pylist()):
+                if own != part and kept:
+                    yield close()
+                    kept = []
+                part = own
+                kept.append([x[cuts[r]: cuts[r + 1]] for x, cuts in columns])
+        if kept:
+            yield close()
 
-def _counted(texts: DataFrame, keys: Callable, names: tuple[str, ...] = ("key",)) -> DataFrame:
-    rows = texts.mapInArrow(_counter(keys, names), ", ".join(f"{c} long" for c in names) + ", n long")
-    return rows.groupBy("key").agg(*(F.first(c).alias(c) for c in names[1:]), F.sum("n").alias("n"))
+    return summed
 
 
-def _repeated(texts: DataFrame, keys: Callable, label: str) -> DataFrame:
+def _repeated(texts: DataFrame, keys: Callable, label: str, tokens: int) -> DataFrame:
     """(key, h, l, n) of the n-grams seen ``LEAST`` times or more.
 
-    Most n-grams of a corpus are seen once. So a first count moves nothing but codes, its survivors fill a
-    sieve, and only what passes it is counted once more with the codes of its parts.
+    Most n-grams of a corpus are seen once. So a first count moves nothing but codes, in sorted runs by part of
+    their range; its survivors fill a sieve, and only what passes it is counted once more with the codes of its
+    parts. There are as many ranges as keep one at about a million ``tokens``.
     """
-    codes_only = stored(_counted(texts, lambda *block: keys(*block)[:1]).where(F.col("n") >= LEAST).select("key"), "often")
+    tasks = tasks_for(texts.sparkSession, tokens, FLUSH)
+    dealt = lambda rows: rows.repartition(tasks, "part").sortWithinPartitions("part")
+    codes_only = dealt(texts.mapInArrow(_coder(keys, 4 * tasks), "part int, codes binary"))
+    codes_only = stored(codes_only.mapInArrow(_seen_often, "key long"), "often")
     often = texts.sparkSession.sparkContext.broadcast(sieve(codes_only, "key", SIEVE))
     discard(codes_only)
 
@@ -139,7 +222,8 @@ def _repeated(texts: DataFrame, keys: Callable, label: str) -> DataFrame:
         ok = passes(often.value, found[0])
         return tuple(x[ok] for x in found)
 
-    rows = stored(_counted(texts, passing, ("key", "h", "l")).where(F.col("n") >= LEAST), label)
+    rows = dealt(texts.mapInArrow(_coder(passing, 4 * tasks, ("h", "l")), "part int, codes binary, h binary, l binary, n binary"))
+    rows = stored(rows.mapInArrow(_summed(("h", "l")), "key long, h long, l long, n long"), label)
     often.destroy()
     return rows
 
@@ -163,7 +247,7 @@ def _arcs(counts: DataFrame, below: DataFrame, label: str) -> tuple[DataFrame, D
 def learn(texts: DataFrame) -> Tables:
     """The model of the column ``text``, counted over all texts."""
     spark = texts.sparkSession
-    counts = stored(_counted(texts, lambda codes, first: (codes,)), "words")
+    counts = stored(texts.mapInArrow(_counter, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     size = float(total["n"] + total["v"] + 1)
 
@@ -171,7 +255,7 @@ def learn(texts: DataFrame) -> Tables:
         key, before = pair_codes(codes)
         return key, before, codes
 
-    two, fail_one = _arcs(_repeated(texts, pairs, "pairs"), counts.withColumn("p", (F.col("n") + 1) / size), "pairs")
+    two, fail_one = _arcs(_repeated(texts, pairs, "pairs", total["n"]), counts.withColumn("p", (F.col("n") + 1) / size), "pairs")
     known = spark.sparkContext.broadcast(sieve(two, "key", SIEVE))
 
     def triples(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -181,7 +265,8 @@ def learn(texts: DataFrame) -> Tables:
         ok = ok[at] & ok[at - 1]
         return key[ok], pair[at - 1][ok], pair[at][ok]
 
-    three, fail_two = _arcs(_repeated(texts, triples, "triples"), two, "triples")
+    three, fail_two = _arcs(_repeated(texts, triples, "triples", total["n"]), two, "triples")
+    known.destroy()
     none = F.coalesce("fail", F.lit(0.0))
     over = (F.log10("p") - F.log10("lp") - F.col("fail")).alias("gain")
     own = two.join(fail_one, "h").select("key", "n", over)
@@ -229,12 +314,13 @@ def _scorer(shared, wanted, root: float):
                     rare.append(key[ask])
                     place.append(where[ask])
                 rare, place = np.concatenate(rare), np.concatenate(place)
-                order = np.argsort(place, kind="stable")
-                add = np.add.reduceat
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(low, high - low) for c in ("row", "doc_id", "held_out")), pa.array(np.diff(first)), pa.array(
-                    add((known >= 0).astype(np.int64), cut)), pa.array(add(base, cut)), pa.array(add(weight, cut)), pa.ListArray.from_arrays(
-                    pa.array(np.searchsorted(place[order], first).astype(np.int32)), int64(rare[order]))],
-                    ["row", "doc_id", "held_out", "n_tokens", "known", "base", "weight", "rare"])
+                rows, add = batch.column("row").to_numpy()[low:high], np.add.reduceat
+                yield pa.record_batch({"key": int64(rare), "row": pa.array(rows[np.searchsorted(first, place, "right") - 1]),
+                                       **{c: pa.nulls(len(rare), t) for c, t in HEAD.items()}})
+                yield pa.record_batch({
+                    "key": int64(mix(rows.view(np.uint64))), "row": pa.array(rows), "doc_id": batch.column("doc_id").slice(low, high - low),
+                    "held_out": batch.column("held_out").slice(low, high - low), "n_tokens": pa.array(np.diff(first)),
+                    "known": pa.array(add((known >= 0).astype(np.int64), cut)), "base": pa.array(add(base, cut)), "weight": pa.array(add(weight, cut))})
 
     return score
 
@@ -249,15 +335,16 @@ def scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str =
     words, n, fails = _sorted(model.words.where(often).toArrow(), "n", "fail")
     shared = spark.sparkContext.broadcast((words, np.log10(n + 1.0), fails, *_sorted(model.gains.where(arc).toArrow(), "gain")))
     wanted = spark.sparkContext.broadcast(sieve(model.gains.where(~arc), "key", SIEVE))
-    heads = stored(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
+    found = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
         _scorer(shared, wanted, float(np.log10(model.tokens + model.vocabulary + 1.0))),
-        "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, weight double, rare array<long>"), "scores")
-    # what is not in the cache comes by a join on the code, words and n-grams alike
+        "key long, row long, doc_id long, held_out boolean, n_tokens long, known long, base double, weight double")
+    # what is not in the cache comes by a join on the code, words and n-grams alike; a text's own row goes along under a code that nothing is read from
     exact = model.words.where(~often).select("key", F.lit(1).alias("more"), F.log10(F.col("n") + 1).alias("gain"), "fail").unionByName(
         model.gains.where(~arc).select("key", F.lit(0).alias("more"), F.lit(0.0).alias("gain"), F.col("gain").alias("fail")))
-    rare = heads.select("row", F.explode("rare").alias("key")).join(exact, "key")
-    rare = rare.groupBy("row").agg(F.sum("more").alias("more"), F.sum("gain").alias("gain"), F.sum("fail").alias("fail"))
-    gain, fail = F.coalesce("gain", F.lit(0.0)), F.coalesce("fail", F.lit(0.0))
-    return heads.drop("rare").join(rare, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + gain).alias("base_score"), (F.col("weight") + gain + fail).alias("score"))
+    asked = F.col("n_tokens").isNull()
+    of = lambda c: F.coalesce(F.sum(F.when(asked, F.col(c))), F.lit(0))
+    found = found.join(exact.hint("merge"), "key", "left").groupBy("row").agg(
+        *(F.max(c).alias(c) for c in HEAD), of("more").alias("more"), of("gain").alias("gain"), of("fail").alias("fail"))
+    return found.select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
+        (F.col("base") + F.col("gain")).alias("base_score"), (F.col("weight") + F.col("gain") + F.col("fail")).alias("score"))
